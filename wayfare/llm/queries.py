@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, pii, quality_classifier, quality_rules, secrets, toxicity
+from . import chat, mixing, near_dup, pii, quality_classifier, quality_rules, secrets, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Query] = {
     "op3_chat_formatting": op3_chat_formatting,
     "op4_source_mixing": op4_source_mixing,
     "op5_toxicity": op5_toxicity,
+    "op6_near_duplicates": op6_near_duplicates,
     "op8_quality_rules": op8_quality_rules,
     "op9_quality_classifier": op9_quality_classifier,
 }
@@ -54,4 +59,5 @@ QUERIES: dict[str, Query] = {
 ORACLE_SQL: dict[str, str] = {
     "op3_chat_formatting": chat.ORACLE,
     "op4_source_mixing": mixing.ORACLE,
+    "op6_near_duplicates": near_dup.ORACLE,
 }

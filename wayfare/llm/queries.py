@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, chat, mixing, near_dup, pii, quality_classifier, quality_rules, secrets, toxicity
+from . import bm25, bpe, chat, mixing, near_dup, pii, quality_classifier, quality_rules, secrets, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +49,11 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return bm25.search(docs, docs.where(F.col("doc_id") % 50 == 0).select(F.col("doc_id").alias("query_id"), "text"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_pii_surrogates": op1_pii_surrogates,
     "op2_secret_scan": op2_secret_scan,
@@ -58,10 +64,12 @@ QUERIES: dict[str, Query] = {
     "op7_byte_bpe": op7_byte_bpe,
     "op8_quality_rules": op8_quality_rules,
     "op9_quality_classifier": op9_quality_classifier,
+    "op10_bm25_topk": op10_bm25_topk,
 }
 
 #: DuckDB SQL for the queries that SQL can express; the others are tested against brute force.
 ORACLE_SQL: dict[str, str] = {
+    "op10_bm25_topk": bm25.ORACLE,
     "op3_chat_formatting": chat.ORACLE,
     "op4_source_mixing": mixing.ORACLE,
     "op6_near_duplicates": near_dup.ORACLE,

@@ -170,13 +170,21 @@ def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a binary, b binary")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, bits: int = 22) -> DataFrame:
-    """node, set of the ``wanted(node, min_id)``. Documents pass a bitmap of fixed size before anything is shuffled."""
-    at = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits)).cast("int")
-    marks = wanted.select(at(F.col("min_id")).alias("m")).distinct().toArrow()["m"].to_numpy()  # at most 2^bits numbers
+def _slot(doc_id: Column, bits: int = 22) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(1 << bits)).cast("int")
+
+
+def _bitmap(ids: DataFrame, bits: int = 22):
+    """Broadcast of one bit for each slot of ``ids(id)``: of fixed size, whatever their number."""
+    marks = ids.select(_slot(F.col("id"), bits).alias("m")).distinct().toArrow()["m"].to_numpy()  # at most 2^bits numbers
     bitmap = np.zeros(1 << bits, bool)
     bitmap[marks] = True
-    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
+    return ids.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, set of the ``wanted(node, min_id)``. Documents pass a bitmap of fixed size before anything is shuffled."""
+    sent = _bitmap(wanted.select(F.col("min_id").alias("id")))
 
     def run(batches):
         word_hash, marked = _hasher(), np.unpackbits(sent.value).astype(bool)
@@ -185,7 +193,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, bits: int = 22) -> DataFrame:
             found = [shingle_set(t.as_py(), word_hash).tobytes() for t in some.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in found], pa.binary()), pa.array(found, pa.binary())], names=["node", "set"])
 
-    found = docs.where(F.col("text").isNotNull()).select("text", at(F.col("doc_id")).alias("at")).mapInArrow(run, "node binary, set binary")
+    found = docs.where(F.col("text").isNotNull()).select("text", _slot(F.col("doc_id")).alias("at")).mapInArrow(run, "node binary, set binary")
     return found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
@@ -313,6 +321,10 @@ def _split(groups: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs(doc_id, text)``."""
+    return verdicts(docs).drop("node")
+
+
+def verdicts(docs: DataFrame) -> DataFrame:
     seen = materialize(sketches(docs), "nd-sketch")
     nodes = seen.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("min_id"), F.first("n").alias("n"), F.first("short").alias("short"), F.first("long").alias("long"))
     nodes = materialize(nodes, "nd-nodes")
@@ -347,7 +359,33 @@ def duplicates(docs: DataFrame) -> DataFrame:
     place = named.join(ids, "label").select("node", "component_id")
     out = seen.select("doc_id", "n", "node").join(place, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "node", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are kept, with their columns.
+
+    Only rows whose id may be one of those that go (a bitmap of fixed size says so) are joined with them, by id and set.
+    """
+    gone = materialize(verdicts(docs).where(~F.col("kept")).select(F.col("doc_id").alias("id"), "node").distinct(), "nd-gone")
+    sent = _bitmap(gone)
+    names = docs.columns
+    place = names.index("text")
+    schema = docs.select("*", F.lit(0).alias("__slot"), F.lit(b"").alias("__node")).schema
+
+    def suspects(wanted: bool):
+        def run(batches):
+            word_hash, marked = _hasher(), np.unpackbits(sent.value).astype(bool)
+            for b in batches:
+                some = b.filter(pa.array(marked[b.column(len(names)).to_numpy()] == wanted))
+                nodes = [xxhash.xxh3_128_digest(shingle_set(t.as_py(), word_hash).tobytes()) if wanted else b"" for t in some.column(place)]
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(nodes, pa.binary())], names=[*names, "__slot", "__node"])
+
+        return docs.withColumn("__slot", _slot(F.col("doc_id"))).mapInArrow(run, schema)
+
+    g = gone.select(F.col("id").alias("__id"), F.col("node").alias("__gone"))
+    rest = suspects(True).join(g, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__node") == F.col("__gone")), "left_anti")
+    return suspects(False).select(*names).unionByName(rest.select(*names))
 
 
 ORACLE = r"""

@@ -8,8 +8,9 @@ that may be linked always have one in common. Bands of registers name candidate
 Links are found group by group without listing a group's pairs:
 1. every member against one member chosen for the whole corpus;
 2. what is still apart, against the member with the most links so far;
-3. what is still apart, pairwise on the registers, in blocks of bounded size; very large groups are first
-   split by a second band. Only pairs that pass the collision-corrected estimate leave the task.
+3. what is still apart, in cells of bounded size: registers name the members whose collision-corrected estimate
+   allows a link to another component, their full sets give the links. Groups with very many members outside their
+   largest component are first split by a second band. A cell returns members and links, never its pairs.
 Every link is confirmed on the full sets. Components follow from confirmed links by label propagation.
 
 Chances: bands of four registers miss a pair of similarity 0.75 with 5e-6, the estimate with less than 1e-6.
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, tidy
 from .labelled import WordCache
 
 SHINGLE = 5
@@ -37,10 +38,12 @@ MANTISSA = 10
 SHARED, SHORT = 512, 700
 #: A pair is looked at on full sets from this estimate on: 0.75 less five deviations of an estimate on 128 registers.
 LOOK = 0.55
-#: Members of a group that one task compares at a time.
-BLOCK = 128
-#: Second bands by which groups of more than BLOCK members are split.
+#: Members of a group that meet in a cell: of those outside its largest component, and of that component.
+BLOCK, CHUNK = 128, 1024
+#: Second bands by which groups of more than LARGE members outside their largest component are split: from there
+#: on, SECOND smaller groups cost less than the cells that hold all pairs of blocks.
 SECOND = 16
+LARGE = SECOND * BLOCK
 
 _U = np.uint64
 _rng = np.random.default_rng(11)
@@ -126,11 +129,11 @@ def sketches(docs: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "n", "node", "short", "long"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node binary, short binary, long binary")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n long, node binary, short binary, long binary")
 
 
 def bands(nodes: DataFrame) -> DataFrame:
-    """key, tier, node: the candidate groups."""
+    """key, band, node: the candidate groups; bands of long sketches count on from those of short ones."""
 
     def run(batches):
         for b in batches:
@@ -139,9 +142,10 @@ def bands(nodes: DataFrame) -> DataFrame:
                 if part.num_rows:
                     keys = band_keys(_registers(part.column(name)), tier)
                     at = np.repeat(np.arange(part.num_rows), keys.shape[1])
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.full(len(at), tier, np.int32)), part.column("node").take(pa.array(at))], names=["key", "tier", "node"])
+                    number = np.tile(np.arange(keys.shape[1], dtype=np.int32) + tier * keys.shape[1], part.num_rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(number), part.column("node").take(pa.array(at))], names=["key", "band", "node"])
 
-    return nodes.select("node", "short", "long").mapInArrow(run, "key long, tier int, node binary")
+    return nodes.select("node", "short", "long").mapInArrow(tidy(run), "key long, band int, node binary")
 
 
 def _registers(column: pa.Array) -> np.ndarray:
@@ -167,7 +171,7 @@ def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
                 e = estimate(_registers(b.column(4)), _registers(b.column(5)), b.column(2).to_numpy(), b.column(3).to_numpy())
                 yield b.select(["a", "b"]).filter(pa.array(e >= LOOK))
 
-    return both.mapInArrow(run, "a binary, b binary")
+    return both.mapInArrow(tidy(run), "a binary, b binary")
 
 
 def _slot(doc_id: Column, bits: int = 22) -> Column:
@@ -193,7 +197,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             found = [shingle_set(t.as_py(), word_hash).tobytes() for t in some.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in found], pa.binary()), pa.array(found, pa.binary())], names=["node", "set"])
 
-    found = docs.where(F.col("text").isNotNull()).select("text", _slot(F.col("doc_id")).alias("at")).mapInArrow(run, "node binary, set binary")
+    found = docs.where(F.col("text").isNotNull()).select("text", _slot(F.col("doc_id")).alias("at")).mapInArrow(tidy(run), "node binary, set binary")
     return found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
@@ -207,12 +211,10 @@ def confirmed(docs: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         for b in batches:
             ok = []
             for x, y in zip(b.column(2), b.column(3), strict=True):
-                s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                common = len(np.intersect1d(s, t, assume_unique=True))
-                ok.append(100 * common >= 75 * (len(s) + len(t) - common))
+                ok.append(_linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)))
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return materialize(both.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary"), "nd-links")
+    return materialize(both.select("a", "b", "x", "y").mapInArrow(tidy(run), "a binary, b binary"), "nd-links")
 
 
 def components(links: DataFrame, most: int = 50) -> DataFrame:
@@ -257,66 +259,138 @@ def _against(groups: DataFrame, rank: Column) -> DataFrame:
     return _ordered(groups.join(top, "key").where("label != top.label").select(F.col("top.node").alias("a"), F.col("node").alias("b")))
 
 
-def _blocks(groups: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Likely pairs of different components inside groups, each pair of blocks of at most BLOCK members in one place."""
-    parts = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
-    g = groups.withColumn("parts", parts).withColumn("i", F.pmod(F.xxhash64("node", F.lit(3)), F.col("parts")).cast("int"))
-    g = g.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    g = g.select("key", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), F.col("i").alias("own"), "tier", "node", "label")
-    regs = nodes.select("node", "n", "short", "long")
-    g = g.join(regs, "node").select("key", "lo", "hi", "own", "node", "label", "n", F.when(F.col("tier") == 0, F.col("short")).otherwise(F.col("long")).alias("regs"))
-    placed = g.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+def _tops(groups: DataFrame) -> DataFrame:
+    """Groups with the label that most of their members have (top), and how many have it or another (held, others)."""
+    counts = groups.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
+    tops = counts.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("top"), F.max("c").alias("held"), (F.sum("c") - F.max("c")).alias("others"))
+    return groups.drop("members").join(tops.where("others > 0"), "key")
+
+
+def _cells(groups: DataFrame) -> DataFrame:
+    """Members in cells of bounded size: two parts each, such that all pairs of different components meet in a cell.
+
+    The members of the top component are dealt into parts of CHUNK (numbers below 0), which need not meet each
+    other; the others into parts of BLOCK, which meet each other and every part of the top component.
+    """
+    parts, chunks = F.ceil(F.col("others") / F.lit(BLOCK)).cast("int"), F.ceil(F.col("held") / F.lit(CHUNK)).cast("int")
+    at = F.xxhash64("node", F.lit(3))
+    is_top = F.col("label") == F.col("top")
+    own = F.when(is_top, -1 - F.pmod(at, chunks)).otherwise(F.pmod(at, parts)).cast("int")
+    meets = F.when(is_top, F.sequence(F.lit(0), parts - 1)).otherwise(F.sequence(-chunks, parts - 1))
+    g = groups.withColumn("own", own).withColumn("with", F.explode(meets))
+    return g.select("key", "band", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"), "own", "node", "label")
+
+
+def _by_cell(rows: DataFrame) -> DataFrame:
+    return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+
+
+def _each_cell(batches, width: int):
+    """Rows of a sorted stream, cell by cell; rows begin with key, lo, hi."""
+    cell, held = None, []
+    for b in batches:
+        for row in zip(*(b.column(i).to_pylist() for i in range(width)), strict=True):
+            if row[:3] != cell:
+                if len(held) > 1:
+                    yield held
+                cell, held = row[:3], []
+            held.append(row)
+    if len(held) > 1:
+        yield held
+
+
+def _partners(own: np.ndarray, names: np.ndarray, size: np.ndarray, x: int, inside: bool) -> np.ndarray:
+    """Later rows of a cell that row ``x`` is to be compared with."""
+    y = np.arange(x + 1, len(own))
+    return y[(names[y] != names[x]) & close_enough(size[y], size[x]) & ((own[y] != own[x]) | inside)]
+
+
+def _numbered(values) -> np.ndarray:
+    known: dict = {}
+    return np.array([known.setdefault(v, len(known)) for v in values])
+
+
+def suspects(cells: DataFrame, nodes: DataFrame, once: bool) -> DataFrame:
+    """The members of cells whose registers allow a link to another component there: key, lo, hi, own, node, label.
+
+    ``once``: a pair counts only in the group of the first band that it shares, which it meets in if none was split.
+    """
+    bands_ = REGISTERS // BAND
+    regs = F.when(F.col("band") < bands_, F.col("short")).otherwise(F.col("long"))
+    rows = _by_cell(cells.join(nodes.select("node", "n", "short", "long"), "node").select("key", "lo", "hi", "own", "node", "label", "n", regs.alias("regs"), "band"))
 
     def run(batches):
-        group, held = None, []
-        for b in batches:
-            cols = [b.column(i).to_pylist() for i in range(8)]
-            out = []
-            for key, lo, hi, own, node, label, n, regs in zip(*cols, strict=True):
-                if (key, lo, hi) != group:
-                    out += _compare_block(held, group[1] == group[2]) if len(held) > 1 else []
-                    group, held = (key, lo, hi), []
-                held.append((own, label, n, regs, node))
-            yield _pairs_batch(out)
-        yield _pairs_batch(_compare_block(held, group[1] == group[2]) if len(held) > 1 else [])
-
-    return _ordered(placed.mapInArrow(run, "a binary, b binary"))
-
-
-def _pairs_batch(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.binary()) for i in range(2)], names=["a", "b"])
-
-
-def _compare_block(rows: list[tuple], inside: bool) -> list[tuple[bytes, bytes]]:
-    """Likely pairs of rows (block, label, n, registers, node): of one block, or across two."""
-    own, label, n, regs, node = zip(*rows, strict=True)
-    r, size, block = np.frombuffer(b"".join(regs), np.uint16).reshape(len(rows), REGISTERS), np.array(n), np.array(own)
-    known: dict[bytes, int] = {}
-    names = np.array([known.setdefault(x, len(known)) for x in label])
-    out = []
-    for x in range(len(rows) - 1):
-        y = np.arange(x + 1, len(rows))
-        y = y[(names[y] != names[x]) & close_enough(size[y], size[x]) & ((block[y] != block[x]) | inside)]
-        if len(y):
-            e = estimate(r[y], r[x][None, :], size[y], size[x])
-            out += [(node[x], node[k]) for k in y[e >= LOOK]]
-    return out
+        out = []
+        for rows_ in _each_cell(batches, 9):
+            _, lo, hi, own, _, label, n, regs_, band = zip(*rows_, strict=True)
+            r, own, names, size = np.frombuffer(b"".join(regs_), np.uint16).reshape(len(rows_), REGISTERS), np.array(own), _numbered(label), np.array(n)
+            hit = np.zeros(len(rows_), bool)
+            packed = r.view(np.uint64)
+            for x in range(len(rows_) - 1):
+                y = _partners(own, names, size, x, lo[0] == hi[0])
+                if once and len(y):
+                    y = y[(packed[y] == packed[x]).argmax(axis=1) == band[0] % bands_]
+                if len(y):
+                    found = y[estimate(r[y], r[x][None, :], size[y], size[x]) >= LOOK]
+                    hit[found] = True
+                    hit[x] |= len(found) > 0
+            out += [rows_[i][:6] for i in np.flatnonzero(hit)]
+            if len(out) >= 10_000:
+                yield _rows(out)
+                out = []
+        yield _rows(out)
+
+    return rows.mapInArrow(tidy(run), "key long, lo int, hi int, own int, node binary, label binary")
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["key", "lo", "hi", "own", "node", "label"])
+
+
+def links_in(found: DataFrame, sets: DataFrame) -> DataFrame:
+    """Confirmed links inside cells, on the full sets; a component that is already reached in a cell needs no second link there."""
+    rows = _by_cell(found.join(sets, "node").select("key", "lo", "hi", "own", "node", "label", "set"))
+
+    def run(batches):
+        out = []
+        for rows_ in _each_cell(batches, 7):
+            _, lo, hi, own, node, label, sets_ = zip(*rows_, strict=True)
+            full = [np.frombuffer(x, np.uint64) for x in sets_]
+            own, size, names = np.array(own), np.array([len(x) for x in full]), _numbered(label)
+            for x in range(len(rows_) - 1):
+                y = _partners(own, names, size, x, lo[0] == hi[0])
+                for k in y:
+                    if names[k] != names[x] and _linked(full[x], full[k]):
+                        out.append((node[x], node[k]))
+                        names[names == names[k]] = names[x]
+        yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.binary()) for i in range(2)], names=["a", "b"])
+
+    return _ordered(rows.mapInArrow(tidy(run), "a binary, b binary"))
+
+
+def _linked(s: np.ndarray, t: np.ndarray) -> bool:
+    common = len(np.intersect1d(s, t, assume_unique=True))
+    return 100 * common >= 75 * (len(s) + len(t) - common)
 
 
 def _split(groups: DataFrame, nodes: DataFrame) -> DataFrame:
     """Groups by their key and a second band of the member: smaller groups, several for each member."""
-    g = groups.join(nodes.select("node", "short", "long"), "node").select("key", "tier", "node", F.when(F.col("tier") == 0, F.col("short")).otherwise(F.col("long")).alias("regs"))
+    bands_ = REGISTERS // BAND
+    regs = F.when(F.col("band") < bands_, F.col("short")).otherwise(F.col("long"))
+    g = groups.join(nodes.select("node", "short", "long"), "node").select("key", "band", "node", regs.alias("regs"))
 
     def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            first = b.column(0).to_numpy().view(np.uint64)
-            second = mix(band_keys(_registers(b.column(3)), 7)[:, :SECOND] ^ first[:, None])
+            first, band = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy() % bands_
+            pick = (band[:, None] + np.arange(1, SECOND + 1)[None, :]) % bands_  # never the band that the group has in common
+            second = mix(np.take_along_axis(band_keys(_registers(b.column(3)), 7), pick, axis=1) ^ first[:, None])
             at = pa.array(np.repeat(np.arange(b.num_rows), SECOND))
-            yield pa.RecordBatch.from_arrays([pa.array(second.ravel().view(np.int64)), b.column(1).take(at), b.column(2).take(at)], names=["key", "tier", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(second.ravel().view(np.int64)), b.column(1).take(at), b.column(2).take(at)], names=["key", "band", "node"])
 
-    return g.mapInArrow(run, "key long, tier int, node binary")
+    return g.mapInArrow(tidy(run), "key long, band int, node binary")
 
 
 def duplicates(docs: DataFrame) -> DataFrame:
@@ -346,12 +420,15 @@ def verdicts(docs: DataFrame) -> DataFrame:
     links = links.union(links2)
     labels = components(links)
 
-    open_ = _apart(groups, labels)
-    small, large = open_.where(F.col("members") <= BLOCK), open_.where(F.col("members") > BLOCK)
-    pieces = _apart(_split(large, nodes), labels)
-    rest = _blocks(small.select("key", "tier", "node", "label", "members"), nodes).union(_blocks(pieces.select("key", "tier", "node", "label", "members"), nodes)).distinct()
-    rest = materialize(rest.join(tested.union(more), ["a", "b"], "left_anti"), "nd-pairs")
-    links = links.union(confirmed(docs, rest, nodes))
+    open_ = materialize(_tops(_apart(groups, labels)), "nd-open")
+    huge = open_.where(F.col("others") > LARGE)
+    once = huge.isEmpty()
+    cells = _cells(open_.where(F.col("others") <= LARGE))
+    if not once:
+        cells = cells.unionByName(_cells(_tops(_apart(_split(huge, nodes), labels))))
+    found = materialize(suspects(cells, nodes, once), "nd-suspects")
+    sets = sets_of(docs, nodes.join(found.select("node").distinct(), "node", "left_semi").select("node", "min_id"))
+    links = links.union(links_in(found, sets))
     labels = components(links)
 
     named = nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "min_id")
@@ -381,7 +458,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
                 nodes = [xxhash.xxh3_128_digest(shingle_set(t.as_py(), word_hash).tobytes()) if wanted else b"" for t in some.column(place)]
                 yield pa.RecordBatch.from_arrays([*some.columns, pa.array(nodes, pa.binary())], names=[*names, "__slot", "__node"])
 
-        return docs.withColumn("__slot", _slot(F.col("doc_id"))).mapInArrow(run, schema)
+        return docs.withColumn("__slot", _slot(F.col("doc_id"))).mapInArrow(tidy(run), schema)
 
     g = gone.select(F.col("id").alias("__id"), F.col("node").alias("__gone"))
     rest = suspects(True).join(g, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__node") == F.col("__gone")), "left_anti")

@@ -1,8 +1,10 @@
 """Byte-level BPE encoding and decoding.
 
 Texts are cut into pretokens by the tokenizer's pattern. Within a batch of documents, the distinct pretokens
-meet a fold of Spark's higher-order functions: from single bytes, each step merges the leftmost pair of least
-rank, looked up in a literal rank map, until no pair has a rank. Documents carry numbers of distinct pretokens,
+meet a fold of Spark's higher-order functions: from the ranks of single bytes, each step merges the leftmost
+pair of least rank, looked up in a literal rank map, until no pair has a rank. The map is a hash table without
+collisions, as array literals, from pairs of ranks to the rank of both together: Spark's own maps are searched
+entry by entry. Documents carry numbers of distinct pretokens,
 so that nothing is shuffled: cut (Python), fold (Catalyst expressions), put together (Python) run in one stage.
 
 Frequent pretokens of a bounded sample are folded once and sent to the tasks. That table only saves work, its
@@ -20,22 +22,28 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
-import zlib
+import re
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import give_back, materialize, tidy
 
-NO_RANK = 2147483647
-SLOTS = 16384
+#: Buckets of the hash table of pairs, and the factor that spreads their keys.
+DEALT, SPREAD = 1 << 16, 611953
+#: The low bits of a state's numbers hold a piece's rank; from NO_PAIR on, the piece makes no pair with the next.
+FIRST, NO_PAIR = (1 << 20) - 1, 1 << 36
 #: Tokens that a batch gathers before its distinct pretokens are folded.
-BATCH_TOKENS = 1_000_000
+BATCH_TOKENS = 600_000
+#: The pattern of byte_bpe_50k for texts of ASCII alone, where classes of letters, digits and spaces are short.
+ASCII_SPACE = r"\t\n\v\f\r "
+ASCII_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^{ASCII_SPACE}A-Za-z0-9]+|[{ASCII_SPACE}]+(?![^{ASCII_SPACE}])|[{ASCII_SPACE}]+"
 
 
 def read_ranks(spark: SparkSession, path: str) -> list[bytes]:
@@ -45,72 +53,143 @@ def read_ranks(spark: SparkSession, path: str) -> list[bytes]:
     return [piece for _, piece in pairs]
 
 
-def rank_map(pieces: list[bytes]) -> Column:
-    """piece -> rank as a literal: maps in slots by crc32, since Spark looks maps up entry by entry.
+def merges(pieces: list[bytes]) -> dict[int, int]:
+    """Key of a pair of ranks -> rank of the piece that both make together, for every way to cut a piece in two pieces."""
+    rank = {p: r for r, p in enumerate(pieces)}
+    found = {}
+    for r, p in enumerate(pieces):
+        for k in range(1, len(p)):
+            a, b = rank.get(p[:k]), rank.get(p[k:])
+            if a is not None and b is not None:
+                found[a * (len(pieces) + 1) + b] = r
+    return found
 
-    Bytes are written as the characters U+0000 to U+00FF.
-    """
-    slots: list[dict[str, int]] = [{} for _ in range(SLOTS)]
-    for rank, piece in enumerate(pieces):
-        text = piece.decode("latin-1")
-        slots[zlib.crc32(text.encode()) % SLOTS][text] = rank
-    return F.from_json(F.lit(json.dumps(slots)), "array<map<string,int>>")
 
+def placed(found: dict[int, int]) -> dict[str, list[int]]:
+    """A hash table without collisions: pairs of one bucket (low bits of the key) are shifted together until all are free.
 
-def fold(word: Column, ranks: Column) -> Column:
-    """Ranks of the pieces of ``word`` (bytes as characters) after all merges."""
+    An entry is key x 2^16 + rank; a free one is 0, which no pair has.
+    """
+    size = 1 << max(4, (len(found) * 9 // 8).bit_length())
+    buckets: dict[int, list[int]] = {}
+    for key in found:
+        buckets.setdefault(key & (DEALT - 1), []).append(key)
+    shift, entries, free = [0] * DEALT, [0] * size, [True] * size
+    for bucket, own in sorted(buckets.items(), key=lambda x: (-len(x[1]), x[0])):
+        base = [((k >> 16) * SPREAD) & (size - 1) for k in own]
+        if len(set(base)) < len(base):
+            raise ValueError("pairs of one bucket fall together; choose another SPREAD")
+        d = next(d for d in range(size) if all(free[(x + d) & (size - 1)] for x in base))
+        shift[bucket] = d
+        for k, x in zip(own, base, strict=True):
+            entries[(x + d) & (size - 1)], free[(x + d) & (size - 1)] = (k << 16) + found[k], False
+    return {"shift": shift, "entries": entries}
+
+
+class RankMap:
+    """The rank map as literal arrays, and its lookups as column expressions."""
+
+    def __init__(self, pieces: list[bytes]):
+        if len(pieces) >= 1 << 16:
+            raise ValueError("ranks have 16 bits")
+        self.edge = len(pieces)  # stands before and behind a word; no pair has it
+        table = placed(merges(pieces))
+        self.size = len(table["entries"])
+        # constant folding turns the parsed text into array literals
+        read = F.from_json(F.lit(json.dumps(table, separators=(",", ":"))), "shift array<bigint>, entries array<bigint>")
+        self.shift, self.entries = read["shift"], read["entries"]
+        single = {p: r for r, p in enumerate(pieces) if len(p) == 1}
+        self.bytes = F.from_json(F.lit(json.dumps([single[bytes([b])] for b in range(256)])), "array<bigint>")
+
+    def pair(self, a: Column, b: Column) -> Column:
+        """Key of a pair and its first rank in one number."""
+        return F.shiftleft(a * _long(self.edge + 1) + b, 20) + a
+
+    def look(self, pairs: Column) -> Column:
+        """For each pair its rank x 2^20 + its first rank; of pairs without a rank the number is NO_PAIR or more."""
+
+        def one(x: Column) -> Column:
+            key = F.shiftright(x, 20)
+            at = (F.shiftright(key, 16) * _long(SPREAD) + F.get(self.shift, key.bitwiseAND(_long(DEALT - 1)).cast("int"))).bitwiseAND(_long(self.size - 1)).cast("int")
+            # what an entry has beyond this key is the rank; of another key's entry it has more than 16 bits, or wraps round
+            rank = (F.get(self.entries, at) - F.shiftleft(key, 16)).bitwiseAND(_long((1 << 40) - 1))
+            return F.shiftleft(rank, 20) + x.bitwiseAND(_long(FIRST))
+
+        return F.transform(pairs, one)
+
+
+def _long(n: int) -> Column:
+    return F.lit(n).cast("long")
+
+
+def fold(word: Column, ranks: RankMap) -> Column:
+    """Ranks of the pieces of ``word`` (bytes as the characters U+0000 to U+00FF) after all merges.
+
+    The state is one array: for each piece its rank and, above it, the rank that it makes with the next piece. The
+    least number names the pair to merge next, its first place the leftmost one.
+    """
+    size = F.length(word)
+    edge = F.array(_long(ranks.edge))
+    own = F.concat(edge, F.transform(F.sequence(F.lit(1), size), lambda i: F.get(ranks.bytes, F.ascii(F.substring(word, i, F.lit(1))))), edge)
 
-    def rank(piece: Column) -> Column:
-        slot = F.element_at(ranks, (F.pmod(F.crc32(piece.cast("binary")), F.lit(SLOTS)) + 1).cast("int"))
-        return F.coalesce(F.element_at(slot, piece), F.lit(NO_RANK))
+    def let(value: Column, use) -> Column:
+        return F.get(F.transform(F.array(value), use), F.lit(0))
 
-    size = F.length(word)
-    pieces = F.transform(F.sequence(F.lit(1), size), lambda i: F.substring(word, i, F.lit(1)))
-    pairs = F.transform(F.when(size > 1, F.sequence(F.lit(1), size - 1)).otherwise(F.array().cast("array<int>")), lambda i: rank(F.substring(word, i, F.lit(2))))
-    none = F.array().cast("array<int>")
+    def state(c: Column) -> Column:
+        return F.struct(c.alias("c"), F.array_min(c).alias("least"))
 
-    def step(state: Column, _: Column) -> Column:
-        p, r = state["p"], state["r"]
-        least = F.array_min(r)
+    # the first step looks all pairs up, the others the two beside a merged one; the map stands in the plan once
+    none = F.slice(own, F.lit(1), F.lit(0))
+    start = F.struct(none.alias("c"), _long(-1).alias("least"))
+
+    def step(s: Column, _: Column) -> Column:
+        c, least = s["c"], s["least"]
+        first = least < 0
 
         def merge(i: Column) -> Column:
-            new = F.concat(F.get(p, i - 1), F.get(p, i))
-            beside = F.array(F.concat(F.get(p, i - 2), new), F.concat(new, F.get(p, i + 1)))  # null beyond the ends
-            near = F.filter(F.transform(beside, lambda x: F.when(x.isNotNull(), rank(x))), lambda x: x.isNotNull())
-            return F.struct(
-                F.concat(F.slice(p, 1, i - 1), F.array(new), F.slice(p, i + 2, F.size(p))).alias("p"),
-                F.concat(F.when(i > 1, F.slice(r, 1, i - 2)).otherwise(none), near, F.slice(r, i + 2, F.size(p))).alias("r"),
-            )
+            new = F.shiftright(least, 20)  # the rank of a merged pair is that of its piece
+            before, behind = F.get(c, i - 2).bitwiseAND(_long(FIRST)), F.get(c, i + 1).bitwiseAND(_long(FIRST))
+            every = let(own, lambda p: F.zip_with(p, F.slice(p, F.lit(2), F.size(p)), lambda a, b: ranks.pair(a, F.coalesce(b, _long(ranks.edge)))))
+            found = ranks.look(F.when(first, every).otherwise(F.array(ranks.pair(before, new), ranks.pair(new, behind))))
+            left, right = F.slice(c, F.lit(1), F.greatest(i - 2, F.lit(0))), F.slice(c, i + 2, F.size(c))
+            return let(F.when(first, found).otherwise(F.concat(left, found, right)), state)
 
-        merged = F.element_at(F.transform(F.array(F.array_position(r, least).cast("int")), merge), 1)
-        return F.when(F.coalesce(least, F.lit(NO_RANK)) < NO_RANK, merged).otherwise(state)
+        return F.when(least >= _long(NO_PAIR), s).otherwise(let(F.array_position(c, least).cast("int"), merge))
 
-    start = F.struct(pieces.alias("p"), pairs.alias("r"))
-    done = F.aggregate(F.sequence(F.lit(1), size), start, step, lambda s: s["p"])
-    return F.transform(done, rank)
+    inner = lambda s: F.transform(F.slice(s["c"], F.lit(2), F.size(s["c"]) - 2), lambda x: x.bitwiseAND(_long(FIRST)).cast("int"))
+    return F.aggregate(F.sequence(F.lit(0), size), start, step, inner)
 
 
 def as_chars(word: str) -> str:
     return word.encode("utf-8", "surrogatepass").decode("latin-1")
 
 
+def cutter(pattern: str):
+    """text -> pretokens."""
+    full = regex.compile(pattern).findall
+    if pattern != public_tokenizers.PATTERN:
+        return full
+    plain = re.compile(ASCII_PATTERN).findall
+    return lambda text: plain(text) if text.isascii() else full(text)
+
+
 def frequent_words(docs: DataFrame, pattern: str, sample: int, most: int) -> DataFrame:
     """word: pretokens that a sample of about ``sample`` documents holds twice or more, at most ``most``."""
     total = docs.count()
     part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1.0, sample / max(1, total)))))
 
     def run(batches):
-        cut = regex.compile(pattern)
+        cut = cutter(pattern)
         counts: Counter = Counter()
         for b in batches:
             for t in b.column(0):
-                counts.update(cut.findall(t.as_py() or ""))
+                counts.update(cut(t.as_py() or ""))
             if len(counts) > 1_000_000:
                 yield pa.RecordBatch.from_arrays([pa.array(map(as_chars, counts), pa.string()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
                 counts = Counter()
         yield pa.RecordBatch.from_arrays([pa.array(map(as_chars, counts), pa.string()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
 
-    words = materialize(part.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"), "bpe-words")
+    words = materialize(part.select("text").mapInArrow(tidy(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"), "bpe-words")
     # the least count that at most ``most`` words reach, from the distribution of counts
     steps = words.groupBy(F.least("n", F.lit(1000)).alias("n")).count().orderBy(F.desc("n")).collect()  # at most 1000 rows
     have, least = 0, 1001
@@ -121,15 +200,47 @@ def frequent_words(docs: DataFrame, pattern: str, sample: int, most: int) -> Dat
     return words.where(F.col("n") >= least).select("word")
 
 
-def encode(docs: DataFrame, path: str, pattern: str, keep: list[str], frequent: int = 400_000, sample: int = 30_000) -> DataFrame:
+class WordTable:
+    """Words to numbers, in sorted 64-bit hashes and one run of bytes: a few bytes a word, where a dict takes a hundred."""
+
+    def __init__(self, hashes: np.ndarray, starts: np.ndarray, text: bytes):
+        self.hashes, self.starts, self.text = hashes, starts, text
+
+    @classmethod
+    def of(cls, words: pa.Array) -> WordTable:
+        raw = [w.as_buffer().to_pybytes() for w in words]
+        h = np.array([xxhash.xxh3_64_intdigest(w) for w in raw], np.uint64)
+        order = np.argsort(h, kind="stable")
+        order = order[np.append(True, h[order][1:] != h[order][:-1])] if len(order) else order  # one word for each hash
+        raw = [raw[i] for i in order]
+        table = cls(h[order], np.concatenate([[0], np.cumsum([len(w) for w in raw])]).astype(np.int64), b"".join(raw))
+        table.source = order
+        return table
+
+    def numbers(self, words: list[bytes]) -> list[int]:
+        """Number of each word, -1 for words that the table has not."""
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+        at = np.searchsorted(self.hashes, h)
+        at[at == len(self.hashes)] = 0
+        hit = self.hashes[at] == h if len(self.hashes) else np.zeros(len(words), bool)
+        lo, hi, text = self.starts[at].tolist() if len(self.hashes) else [], self.starts[at + 1].tolist() if len(self.hashes) else [], self.text
+        at = at.tolist()
+        return [at[i] if ok and text[lo[i] : hi[i]] == w else -1 for i, (ok, w) in enumerate(zip(hit.tolist(), words, strict=True))]
+
+
+def encode(docs: DataFrame, path: str, pattern: str, keep: list[str], frequent: int = 1_000_000, sample: int = 80_000) -> DataFrame:
     """``keep`` columns, ids (little-endian unsigned 32-bit integers) and decoded (bytes) for every row of ``docs(text)``."""
     spark = docs.sparkSession
     pieces = read_ranks(spark, path)
-    ranks = rank_map(pieces)
+    ranks = RankMap(pieces)
+    # plans are kept as text, in which the rank map would stand in full
+    spark.conf.set("spark.sql.maxPlanStringLength", min(100_000, int(spark.conf.get("spark.sql.maxPlanStringLength").rstrip("b"))))
     folded = frequent_words(docs, pattern, sample, frequent).select("word", fold(F.col("word"), ranks).alias("ids"))
     known = materialize(folded, "bpe-known").toArrow()  # at most ``frequent`` rows
-    sent_words = spark.sparkContext.broadcast(known["word"].to_pylist())
-    sent_ids = spark.sparkContext.broadcast((known["ids"].combine_chunks(), pieces))
+    sent_words = spark.sparkContext.broadcast(WordTable.of(known["word"].combine_chunks()))
+    sent_ids = spark.sparkContext.broadcast((known["ids"].combine_chunks().take(pa.array(sent_words.value.source)), pieces))
+    del known
+    give_back()
 
     fields = docs.select(*keep).schema
     kept = ", ".join(f"`{f.name}`" for f in fields)
@@ -137,41 +248,39 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: list[str], frequent:
     doc_type = f"struct<{inner}, codes: binary>"
 
     def cut(batches):
-        split = regex.compile(pattern)
-        number = {w: i for i, w in enumerate(sent_words.value)}
-        base = len(number)
-        rare: dict[str, int] = {}
-        rows: list[tuple[dict, bytes]] = []
-        count = 0
+        split = cutter(pattern)
+        words_ = sent_words.value
+        base = len(words_.hashes)
         seen: dict[str, int] = {}
-
-        def code(word: str) -> int:
-            chars = as_chars(word)
-            at = number.get(chars)
-            return base + rare.setdefault(chars, len(rare)) if at is None else at
+        rows: list[tuple[tuple, np.ndarray]] = []
+        count = 0
+        arrow_doc = None
 
         def batch():
-            docs_ = pa.array([{**k, "codes": c} for k, c in rows], arrow_doc)
-            return pa.RecordBatch.from_arrays([pa.array([[*rare]], pa.list_(pa.string())), pa.ListArray.from_arrays(pa.array([0, len(docs_)], pa.int32()), docs_)], names=["words", "docs"])
+            new = list(seen)
+            utf = [w.encode("utf-8", "surrogatepass") for w in new]
+            number, rare = words_.numbers(utf), []
+            for i, k in enumerate(number):
+                if k < 0:
+                    number[i] = base + len(rare)
+                    rare.append(utf[i].decode("latin-1"))
+            place = np.array(number, np.int32)
+            docs_ = pa.array([{**dict(zip(keep, k, strict=True)), "codes": place[c].tobytes()} for k, c in rows], arrow_doc)
+            return pa.RecordBatch.from_arrays([pa.array([rare], pa.list_(pa.string())), pa.ListArray.from_arrays(pa.array([0, len(docs_)], pa.int32()), docs_)], names=["words", "docs"])
 
-        arrow_doc = None
         for b in batches:
             if arrow_doc is None:
                 arrow_doc = pa.struct([*[b.schema.field(i + 1) for i in range(len(keep))], pa.field("codes", pa.binary())])
-            extra = [b.column(i + 1).to_pylist() for i in range(len(keep))]
-            for i, t in enumerate(b.column(0)):
-                words = split.findall(t.as_py() or "")
-                for w in set(words):
-                    if w not in seen:
-                        seen[w] = code(w)
-                codes = np.fromiter(map(seen.__getitem__, words), np.int32, len(words))
-                rows.append((dict(zip(keep, (x[i] for x in extra), strict=True)), codes.tobytes()))
+            extra = list(zip(*(b.column(i + 1).to_pylist() for i in range(len(keep))), strict=True)) or [()] * b.num_rows
+            for k, t in zip(extra, b.column(0), strict=True):
+                words = split(t.as_py() or "")
+                for w in set(words).difference(seen):
+                    seen[w] = len(seen)
+                rows.append((k, np.array([seen[w] for w in words], np.int32)))
                 count += len(words)
                 if count >= BATCH_TOKENS:
                     yield batch()
-                    rows, count = [], 0
-                    rare.clear()
-                    seen.clear()
+                    rows, seen, count = [], {}, 0
         if rows:
             yield batch()
 
@@ -196,10 +305,10 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: list[str], frequent:
                     text_out.append(decode(ids, parts))
                 yield pa.RecordBatch.from_arrays([*[table.field(k) for k in keep], pa.array(ids_out, pa.binary()), pa.array(text_out, pa.binary())], names=[*keep, "ids", "decoded"])
 
-    cutted = docs.select(F.col("text").alias("__text"), *keep).mapInArrow(cut, f"words array<string>, docs array<{doc_type}>")
+    cutted = docs.select(F.col("text").alias("__text"), *keep).mapInArrow(tidy(cut), f"words array<string>, docs array<{doc_type}>")
     ready = cutted.select(F.transform("words", lambda w: fold(w, ranks)).alias("words"), "docs")
     out = docs.select(*keep).schema.add("ids", "binary").add("decoded", "binary")
-    return ready.mapInArrow(join, out)
+    return ready.mapInArrow(tidy(join), out)
 
 
 def decode(ids: np.ndarray, pieces: list[bytes]) -> bytes:

@@ -52,7 +52,7 @@ def collect_features(sample: DataFrame, extract: Callable[..., np.ndarray], stat
 class WordCache(dict):
     """word -> value, computed when missing; starts anew at a bound, so that workers keep bounded memory."""
 
-    def __init__(self, make: Callable, bound: int = 400_000):
+    def __init__(self, make: Callable, bound: int = 100_000):
         super().__init__()
         self.make, self.bound = make, bound
 

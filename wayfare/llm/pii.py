@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import materialize, tidy
 
 #: Common first names by script and gender, and titles that lead a name.
 FIRST = {
@@ -209,7 +209,7 @@ def values_of(docs: DataFrame, key: bytes, tweak: int) -> DataFrame:
             rows = [(k, c, canonical(k, surrogate(key, k, raw, tweak))) for (k, c), raw in seen.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=["kind", "value", "surrogate"])
 
-    return docs.select("text").mapInArrow(run, "kind string, value string, surrogate string").distinct()
+    return docs.select("text").mapInArrow(tidy(run), "kind string, value string, surrogate string").distinct()
 
 
 def collisions(values: DataFrame) -> DataFrame:
@@ -257,4 +257,4 @@ def replace_in(docs: DataFrame, key: str = "surrogates", bound: int = 10_000) ->
             columns[place] = pa.array([r[0] for r in rows], pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array([r[1] for r in rows], pa.int64())], names=[*names, "n_entities"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)

@@ -19,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod
+from .common import crc_mod, tidy
 from .labelled import WORD, WordCache, bucket, collect_features, labelled_sample, row_sums, sigmoid
 
 BITS = 16
+#: Texts that are scored together.
+ROWS = 256
 SYMBOLS, MARKS = "#*$%&|<>{}[]~^=_\\/@+", "!?"
 
 
@@ -129,7 +131,7 @@ def score(docs: DataFrame, machine: Machine, keep: list[str], threshold: float =
     def run(batches):
         m = sent.value
         ids = WordCache(lambda w: bucket(w, BITS))
-        for b in batches:
+        for b in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             texts = [t or "" for t in b.column(0).to_pylist()]
             rows = []
             for t in texts:
@@ -141,7 +143,7 @@ def score(docs: DataFrame, machine: Machine, keep: list[str], threshold: float =
             yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=[*keep, "score", "predicted"])
 
     columns = [F.col("text").alias("__text"), F.col("n_chars").cast("long").alias("__n_chars"), *[F.col(c) for c in keep]]
-    return docs.select(*columns).mapInArrow(run, schema)
+    return docs.select(*columns).mapInArrow(tidy(run), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, rows: int = 6000) -> DataFrame:

@@ -23,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod
+from .common import crc_mod, tidy
 from .labelled import WORD, WordCache, bucket, collect_features, labelled_sample, row_sums, sigmoid
 
 BITS = 20
 #: Word beginnings of these lengths are terms beside whole words.
 BEGINNINGS = (4, 5, 6)
+#: Correlation within the classes from which on voters share a weight; below it, an imperfect posterior shows it too.
+CORRELATED = 0.4
 #: Common insults of four languages, one voter each.
 LEXICONS = {
     "en": "idiot idiots moron stupid dumb loser losers pathetic scum worthless trash garbage disgusting clown fool ugly filthy vermin jerk".split(),
@@ -55,15 +57,16 @@ def patterns(text: str) -> list[float]:
     return [1.0 if text.count("!") / n > 0.02 else 0.0, 1.0 if upper > 0.3 else 0.0, 1.0 if "?!" in text or "!?" in text else 0.0, -1.0 if len(text) > 400 and "!" not in text else 0.0]
 
 
-def induce(y: np.ndarray, offsets: np.ndarray, flat: np.ndarray, most: int, least: int = 3, odds: float = 3.0) -> np.ndarray:
-    """Terms whose smoothed log odds for toxic rows reach ``odds``, best first; ties by term."""
+def induce(y: np.ndarray, offsets: np.ndarray, flat: np.ndarray, most: int, least: float = 0.01, odds: float = 3.0) -> np.ndarray:
+    """Terms whose smoothed log odds for toxic rows reach ``odds``, best first; ties by term. Terms of less than the
+    share ``least`` of toxic rows, or of fewer than 3, may be there by chance and are left out."""
     size = 1 << BITS
     label = np.repeat(y, np.diff(offsets))
     pos, all_ = np.bincount(flat, label, minlength=size), np.bincount(flat, minlength=size)
     neg = all_ - pos
     n1, n0 = max(1.0, y.sum()), max(1.0, len(y) - y.sum())
     ratio = np.log((pos + 0.5) / n1) - np.log((neg + 0.5) / n0)
-    at = np.flatnonzero((pos >= least) & (ratio >= odds))
+    at = np.flatnonzero((pos >= max(3, least * y.sum())) & (ratio >= odds))
     return at[np.lexsort((at, -ratio[at] * np.sqrt(pos[at])))][:most]
 
 
@@ -94,26 +97,26 @@ def label_model(v: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray
         balance = np.clip(q.mean(), 1e-3, 1 - 1e-3)
         for k, p in enumerate((1 - q, q)):
             chance[k] = (np.einsum("n,nmc->mc", p, hot) + 0.5) / (p.sum() + 1.5)
-        if r % 5 == 4:  # what voters say beyond the class: correlations of residuals under the posterior
+        if r % 5 == 0:  # what voters say beyond the class: correlations of residuals under the posterior
             mean = chance[:, :, 2] - chance[:, :, 0]
             rest = v - (q[:, None] * mean[1] + (1 - q[:, None]) * mean[0])
             sd = np.maximum(rest.std(axis=0), 1e-6)
             corr = (rest - rest.mean(axis=0)).T @ (rest - rest.mean(axis=0)) / n / np.outer(sd, sd)
             np.fill_diagonal(corr, 0)
-            weight = 1 / (1 + np.where(corr > 0.1, corr, 0).sum(axis=1))
+            weight = 1 / (1 + np.where(corr > CORRELATED, corr, 0).sum(axis=1))
         ratio = np.log(chance[1]) - np.log(chance[0])
         z = np.log(balance / (1 - balance)) + (weight * ratio[np.arange(m)[None, :], code]).sum(axis=1)
         q = np.clip(sigmoid(z), 1e-4, 1 - 1e-4)
     return q, weight, chance
 
 
-def fit_linear(q: np.ndarray, offsets: np.ndarray, flat: np.ndarray, epochs: int = 150, rate: float = 0.1, l1: float = 2e-4, least: int = 3) -> tuple[float, np.ndarray]:
-    """Proximal Adam on the logistic loss against soft labels; terms rarer than ``least`` rows are left out."""
+def fit_linear(q: np.ndarray, offsets: np.ndarray, flat: np.ndarray, epochs: int = 150, rate: float = 0.1, l1: float = 2e-4, least: float = 0.001) -> tuple[float, np.ndarray]:
+    """Proximal Adam on the logistic loss against soft labels; terms of fewer than 3 rows, or of less than the share ``least``, are left out."""
     size = 1 << BITS
     w = np.zeros(size)
     if not len(q):
         return 0.0, w
-    seen = np.bincount(flat, minlength=size) >= least
+    seen = np.bincount(flat, minlength=size) >= max(3, least * len(q))
     used = np.flatnonzero(seen)
     place = np.full(size, -1)
     place[used] = np.arange(len(used))
@@ -157,7 +160,7 @@ def score(docs: DataFrame, bias: float, weights: np.ndarray, threshold: float =
             s = sigmoid(z)
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, score double, predicted int")
 
 
 def classify(docs: DataFrame, labels: DataFrame, rows: int = 8000) -> DataFrame:

@@ -51,7 +51,8 @@ def raptor_case(spark, source, at, target, egress, date=20260710, previous=20260
     transfers = spark.createDataFrame([(1, 3, 1800), (3, 1, 1800)], "from_stop long, to_stop long, ds long")
     sources = spark.createDataFrame([(1, date, source, at)], "query_id long, date long, stop long, arr long")
     targets = spark.createDataFrame([(1, target, egress)], "query_id long, stop long, egress long")
-    return routing.pareto(routing.raptor(sources, targets, routing.boards(day), routing.rides(day), transfers, 4, 60)).collect()
+    ride = routing.rides(day)
+    return routing.pareto(routing.raptor(sources, targets, routing.boards(ride), ride, transfers, 4, 60)).collect()
 
 
 @pytest.mark.parametrize(

@@ -35,7 +35,8 @@ class Engine:
         days = dates.select("date").union(dates.select("previous")).distinct()
         active = timetable.active_services(self.tables.read("services"), self.tables.read("service_exceptions"), days)
         day = routing.layers(t, active, dates)
-        return materialize(routing.boards(day), "boards"), materialize(routing.rides(day), "rides"), day
+        ride = materialize(routing.rides(day), "rides")
+        return materialize(routing.boards(ride), "boards"), ride, day
 
     def plan(self, requests: DataFrame, access: DataFrame | None = None, egress: DataFrame | None = None) -> DataFrame:
         """Pareto journeys for ``requests(query_id, date, previous, source, dep_sec, target, egress_sec)``.

@@ -95,16 +95,15 @@ def layers(timetable: DataFrame, active: DataFrame, dates: DataFrame) -> DataFra
     return t.select("date", "layer", "pattern", "trip_rank", "trip", "pos", "stop_idx", (F.col("arr") + F.col("shift")).alias("arr"), (F.col("dep") + F.col("shift")).alias("dep"))
 
 
-def boards(day: DataFrame) -> DataFrame:
-    """date, stop, layer, pattern, pos, trips: departures of a pattern at a stop, in trip rank order."""
-    last = F.max("pos").over(Window.partitionBy("date", "layer", "pattern", "trip"))
-    t = day.withColumn("last", last).where("pos < last AND dep >= 0")
-    return t.groupBy("date", F.col("stop_idx").alias("stop"), "layer", "pattern", "pos").agg(F.array_sort(F.collect_list(F.struct("trip_rank", "dep"))).alias("trips"))
-
-
 def rides(day: DataFrame) -> DataFrame:
     """date, layer, pattern, trip_rank, trip, calls: the stops of a trip in order."""
-    return day.groupBy("date", "layer", "pattern", "trip_rank", "trip").agg(F.array_sort(F.collect_list(F.struct("pos", "stop_idx", "arr"))).alias("calls"))
+    return day.groupBy("date", "layer", "pattern", "trip_rank", "trip").agg(F.array_sort(F.collect_list(F.struct("pos", "stop_idx", "arr", "dep"))).alias("calls"))
+
+
+def boards(ride: DataFrame) -> DataFrame:
+    """date, stop, layer, pattern, pos, trips: departures of a pattern at a stop, in trip rank order; none at a trip's last stop."""
+    t = ride.select("date", "layer", "pattern", "trip_rank", F.explode(F.slice("calls", F.lit(1), F.size("calls") - 1)).alias("c")).where("c.dep >= 0")
+    return t.groupBy("date", F.col("c.stop_idx").alias("stop"), "layer", "pattern", F.col("c.pos").alias("pos")).agg(F.array_sort(F.collect_list(F.struct("trip_rank", F.col("c.dep").alias("dep")))).alias("trips"))
 
 
 def asof_board(ready: DataFrame, board: DataFrame) -> DataFrame:
@@ -141,6 +140,7 @@ def raptor(sources: DataFrame, targets: DataFrame, board: DataFrame, ride: DataF
     can't beat the stop's or the target's best so far are dropped.
     """
     none = F.array().cast(LEG)
+    transfers = materialize(transfers, "raptor-foot")  # read in every round
     null = F.lit(None).cast("long")
     front = materialize(sources.groupBy("query_id", "date", F.col("stop")).agg(F.min("arr").alias("arr")).select("query_id", "date", "stop", "arr", F.lit(False).alias("ride"), none.alias("legs")), "raptor")
     best = front.select("query_id", "stop", "arr")

@@ -270,7 +270,7 @@ def asof_board(spark: SparkSession, d: str) -> DataFrame:
 def _boarded(spark: SparkSession, d: str, day: DataFrame) -> DataFrame:
     (r,) = fx(spark, d, "requests")
     ready = r.select("query_id", F.lit(DATE).cast("long").alias("date"), F.col("source").alias("stop"), F.col("dep_sec").alias("ready"))
-    return routing.asof_board(ready, routing.boards(day))
+    return routing.asof_board(ready, routing.boards(routing.rides(day)))
 
 
 @query(f"""+ {_DAY}, b AS (SELECT query_id, layer, d.pattern, d.pos, min(trip_rank) AS trip_rank FROM requests r JOIN day d ON d.stop_idx = r.source AND d.pos < 7 AND d.dep >= 0 AND d.dep >= r.dep_sec GROUP BY ALL)
@@ -280,9 +280,13 @@ def ride_expand(spark: SparkSession, d: str) -> DataFrame:
     return routing.ride_expand(_boarded(spark, d, day), routing.rides(day)).select("query_id", "trip", "board_pos", "alight_pos", "alight", "alight_arr")
 
 
+def _departures(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    ride = materialize(routing.rides(_day(spark, d)), "rides")
+    return materialize(routing.boards(ride), "boards"), ride
+
+
 def _raptor(spark: SparkSession, d: str, max_transfers: int = 4, requests: DataFrame | None = None) -> DataFrame:
-    day = _day(spark, d)
-    board, ride = materialize(routing.boards(day), "boards"), materialize(routing.rides(day), "rides")
+    board, ride = _departures(spark, d)
     r, x = fx(spark, d, "requests", "transfers")
     r = requests if requests is not None else r
     sources = r.select("query_id", F.lit(DATE).cast("long").alias("date"), F.col("source").alias("stop"), F.col("dep_sec").alias("arr"))
@@ -323,13 +327,13 @@ def _from_stops(sql: str) -> str:
 
 @query(f"+ {_DAY}, {_from_stops(_rounds(3))} {_PARETO}", *_NET, "dims")
 def plan_from_stops(spark: SparkSession, d: str) -> DataFrame:
-    day = _day(spark, d)
+    board, ride = _departures(spark, d)
     r, x, dims = fx(spark, d, "requests", "transfers", "dims")
     k = spark.range(3).select(F.col("id").alias("k"))
     n = dims.first().n_stops
     sources = r.join(F.broadcast(k)).select("query_id", F.lit(DATE).cast("long").alias("date"), ((F.col("source") + F.col("k")) % n).alias("stop"), (F.col("dep_sec") + 60 * F.col("k")).alias("arr"))
     targets = r.select("query_id", F.col("target").alias("stop"), F.col("egress_sec").alias("egress"))
-    return routing.raptor(sources, targets, materialize(routing.boards(day), "boards"), materialize(routing.rides(day), "rides"), x, 2).select("query_id", "rides", "arr")
+    return routing.raptor(sources, targets, board, ride, x, 2).select("query_id", "rides", "arr")
 
 
 _ARRIVE = _rounds(3).replace("SELECT query_id, source AS stop, dep_sec AS arr, FALSE AS ride FROM requests", "SELECT query_id, source AS stop, dep_sec AS arr, FALSE AS ride FROM probes").replace("JOIN requests r ON r.query_id = l.query_id", "JOIN probes r ON r.query_id = l.query_id")

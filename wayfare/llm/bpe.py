@@ -70,7 +70,7 @@ def placed(found: dict[int, int]) -> dict[str, list[int]]:
 
     An entry is key x 2^16 + rank; a free one is 0, which no pair has.
     """
-    size = 1 << max(4, (len(found) * 9 // 8).bit_length())
+    size = 1 << max(4, (len(found) * 3 // 2).bit_length())
     buckets: dict[int, list[int]] = {}
     for key in found:
         buckets.setdefault(key & (DEALT - 1), []).append(key)
@@ -208,7 +208,7 @@ class WordTable:
 
     @classmethod
     def of(cls, words: pa.Array) -> WordTable:
-        raw = [w.as_buffer().to_pybytes() for w in words]
+        raw = [w.as_py().encode("latin-1") for w in words]
         h = np.array([xxhash.xxh3_64_intdigest(w) for w in raw], np.uint64)
         order = np.argsort(h, kind="stable")
         order = order[np.append(True, h[order][1:] != h[order][:-1])] if len(order) else order  # one word for each hash

@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import itertools
 import random
 import re
 
@@ -160,6 +161,31 @@ def test_pii_collisions_are_resolved(spark):
     assert len({next(iter(v)) for v in seen.values()}) == len(seen)
 
 
+def test_pii_full_formats_stay_distinct(spark):
+    listed = pii.FIRST["latin", "f"][:30]  # more than half of the list
+    short = [a + b for a in "BCDFGHJKLMNPQRSTVWXYZ" for b in "aeiou"]  # a whole format
+    for names in (listed, short, listed + short):
+        rows = [(i, f"Dr. {n} came") for i, n in enumerate(names)]
+        got = {r.doc_id: r.text.split()[1] for r in pii.replace_in(spark.createDataFrame(rows, "doc_id long, text string"), "key").collect()}
+        assert len(set(got.values())) == len(names)
+        assert all(got[i] != n for i, n in enumerate(names))
+        free = len(pii.FIRST["latin", "f"]) - len(listed) if listed[0] in names else 0
+        assert len(set(got.values()) - set(names)) == free, "every free value is used before one of the corpus"
+
+
+def test_pii_settles_every_kind():
+    key = b"k"
+    for kind, value in (("email", "ab@c.de"), ("email", "A1@b.com"), ("ip", "10.1.2.3"), ("iban", "DE89 3704 0044 0532 0130 00"), ("card", "4111 1111 1111 1111"), ("card", "4111-1111-1111-1112"), ("ssn", "123-45-6789"), ("phone", "+49 30 1234567"), ("phone", "555-123-4567"), ("name", "Ольга"), ("name", "Zoe")):
+        own = pii.canonical(kind, value)
+        some = list(itertools.islice(pii.format_values(key, kind, own), 50))
+        assert len(set(some)) == len(some) and {pii.format_of(kind, s) for s in some} == {pii.format_of(kind, own)}
+        new = pii.settle(key, kind, [own], {f"v{i}": s for i, s in enumerate(some[:5])}, {own})[own]
+        text = pii.replacement(key, kind, value, 0, {(kind, own): new})
+        assert pii.canonical(kind, text) == new not in {own, *some[:5]}
+        assert re.sub(r"\w", "x", text) == re.sub(r"\w", "x", value) or kind == "ip" or value in pii.GENDER
+    assert pii.settle(key, "name", ["Éé"], {}, {"Éé"}) == {"Éé": "Éé"}
+
+
 def test_pii_leaves_no_value(docs, texts):
     out = {r.doc_id: r for r in pii.replace_in(docs).collect()}
     values = {t[a:b] for t in texts.values() for a, b, _ in pii.find(t)}

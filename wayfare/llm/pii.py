@@ -8,8 +8,11 @@ the same value has the same surrogate wherever and however it is written (corefe
 have different ones (distinctness).
 
 The collision check runs over all distinct values of the corpus: values whose surrogate is shared, unchanged
-or itself a value of the corpus get a surrogate under the next tweak, until none is left. These exceptions are
-sent to the tasks while they number at most ``bound``; beyond it the whole corpus gets the next tweak.
+or itself a value of the corpus get a surrogate under the next tweak, until none is left or ``most`` rounds are
+over. Formats that are then too full for it are settled exactly: what is left takes the format's free values in a
+keyed order and, when these are used up, values of the corpus, distinct and never its own. A warning counts those,
+and values that stay as they are because their format holds nothing else. These exceptions are sent to the tasks
+while they number at most ``bound``; beyond it the whole corpus gets the next tweak.
 
 Defined results: null texts stay null, with no entities; texts are processed whole; repeated rows repeat their
 result; an empty table gives no rows; further columns are kept by :func:`replace_in`.
@@ -19,6 +22,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+import warnings
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -166,7 +171,10 @@ def surrogate(key: bytes, kind: str, value: str, tweak: int = 0) -> str:
     if kind == "name":
         if value in GENDER:
             return _name_order(key, t, *GENDER[value])[value]
-        return shuffle_text(key, t, value)
+        new = shuffle_text(key, t, value)
+        while new in GENDER:  # walk the permutation's cycle: listed names are surrogates of listed names alone
+            new = shuffle_text(key, t, new)
+        return new
     digits = "".join(filter(str.isdigit, value))
     if kind == "card":
         if luhn(digits[:-1]) == int(digits[-1]):
@@ -181,7 +189,115 @@ def surrogate(key: bytes, kind: str, value: str, tweak: int = 0) -> str:
     return put_digits(value, shuffle_text(key, f"{t}|{digits[:country]}", digits, country + (kind == "phone")))
 
 
-Exceptions = dict[tuple[str, str], int]
+#: Values with a tweak or a surrogate (canonical) of their own.
+Exceptions = dict[tuple[str, str], int | str]
+
+
+def replacement(key: bytes, kind: str, value: str, tweak: int, exceptions: Exceptions) -> str:
+    """The surrogate of ``value`` under the corpus' tweak and its exceptions, written in its format."""
+    own = exceptions.get((kind, canonical(kind, value)), tweak)
+    if isinstance(own, int):
+        return surrogate(key, kind, value, own)
+    if kind in ("card", "ssn", "phone"):
+        return put_digits(value, own.lstrip("+"))
+    if kind == "iban":
+        it = iter(own)
+        return "".join(c if c == " " else next(it) for c in value)
+    return "".join(n.upper() if c.isupper() else n for c, n in zip(value, own, strict=True)) if kind == "email" else own
+
+
+def _moving(kind: str, value: str) -> list[int]:
+    """Places of a canonical value that its format lets change; check digits not among them."""
+    n = len(value)
+    if kind == "email":
+        places = [i for i in range(value.rindex(".")) if value[i] != "@"]
+    elif kind == "card":
+        places = range(1, n - (luhn(value[:-1]) == int(value[-1])))
+    elif kind == "phone":
+        places = range(len(re.match(r"\+\d{0,3}|", value)[0]) + 1, n)
+    else:
+        places = range(4 if kind == "iban" else 0, n)
+    return [i for i in places if value[i].lower() in CLASS]
+
+
+def format_of(kind: str, value: str) -> str:
+    """What all values of one format have in common."""
+    if kind == "ip":
+        return value.split(".")[0]
+    if kind == "name" and value in GENDER:
+        return "|".join(("first", *GENDER[value]))
+    out = list(value)
+    for i in _moving(kind, value):
+        script, part = CLASS[value[i].lower()]
+        out[i] = f"<{script}{part}{value[i] != value[i].lower()}>"
+    if kind == "iban":
+        out[2:4] = "00"
+    if kind == "card" and luhn(value[:-1]) == int(value[-1]):
+        out[-1] = "valid"
+    return "".join(out)
+
+
+def format_values(key: bytes, kind: str, value: str) -> Iterator[str]:
+    """All canonical values of the format of ``value``, in a keyed order."""
+    tweak = f"settle|{format_of(kind, value)}"
+    if kind == "name" and value in GENDER:
+        yield from sorted(FIRST[GENDER[value]], key=lambda w: _round(key, f"{tweak}|{w}", 0, ()))
+        return
+    at = [1, 2, 3] if kind == "ip" else _moving(kind, value)
+    parts = value.split(".") if kind == "ip" else list(value)
+    sets = [[*map(str, range(256))] if kind == "ip" else RADIX[CLASS[value[i].lower()]] for i in at]
+    size = 1
+    for s in sets:
+        size *= len(s)
+    valid = kind == "card" and luhn(value[:-1]) == int(value[-1])
+    for k in range(size):
+        digits = []
+        for s in sets:
+            k, d = divmod(k, len(s))
+            digits.append(d)
+        out = list(parts)
+        for i, s, d in zip(at, sets, permute(key, tweak, digits, [len(s) for s in sets]), strict=True):
+            out[i] = s[d].upper() if parts[i] != parts[i].lower() else s[d]
+        new = (".".join if kind == "ip" else "".join)(out)
+        if kind == "iban":
+            new = f"{new[:2]}{98 - int(''.join(str(int(c, 36)) for c in new[4:] + new[:2] + '00')) % 97:02}{new[4:]}"
+        elif valid:
+            new = new[:-1] + str(luhn(new[:-1]))
+        if not (kind == "card" and not valid and luhn(new[:-1]) == int(new[-1])) and not (kind == "name" and new in GENDER):
+            yield new
+
+
+def settle(key: bytes, kind: str, left: list[str], used: dict[str, str], corpus: set[str]) -> dict[str, str]:
+    """Surrogates for the values ``left`` of one format: free values first, then values of the corpus.
+
+    ``used`` are the surrogates of the other values in or into this format, ``corpus`` the format's values there.
+    All are distinct, and none is the value itself unless the format holds no other. Values of ``used`` are in
+    the result if they had to give theirs.
+    """
+    left, taken, new = sorted(left), set(used.values()), {}
+    second: list[str] = []
+    todo = iter(left)
+    at = next(todo, None)
+    for c in format_values(key, kind, left[0]):
+        if at is None:
+            break
+        if c in corpus:
+            second.append(c)
+        elif c not in taken:
+            new[at] = c
+            at = next(todo, None)
+    spare = [c for c in second if c not in taken]
+    for v in left[len(new) :]:
+        c = next((c for c in spare if c != v), None)
+        if c is None:  # its own is the last one: change with another value of the format
+            u = next((u for u in (*new, *used) if u in corpus and u != v), None)
+            new[v] = v if u is None else new.get(u, used.get(u))
+            if u is not None:
+                new[u] = v
+        else:
+            new[v] = c
+            spare.remove(c)
+    return new
 
 
 def rewrite(text: str | None, key: bytes, tweak: int, exceptions: Exceptions) -> tuple[str | None, int]:
@@ -191,7 +307,7 @@ def rewrite(text: str | None, key: bytes, tweak: int, exceptions: Exceptions) ->
     out, at = [], 0
     for a, b, kind in spans:
         value = text[a:b]
-        out += [text[at:a], surrogate(key, kind, value, exceptions.get((kind, canonical(kind, value)), tweak))]
+        out += [text[at:a], replacement(key, kind, value, tweak, exceptions)]
         at = b
     return "".join([*out, text[at:]]), len(spans)
 
@@ -220,6 +336,33 @@ def collisions(values: DataFrame) -> DataFrame:
     return shared.union(values.join(known, ["kind", "surrogate"], "left_semi").select("kind", "value")).distinct()
 
 
+def settle_formats(values: DataFrame, key: bytes) -> Exceptions:
+    """Surrogates for what collides in formats that are too full for another round."""
+    left: dict[tuple[str, str], list[str]] = {}
+    for r in collisions(values).collect():  # no more than the last round's
+        left.setdefault((r.kind, format_of(r.kind, r.value)), []).append(r.value)
+    if not left:
+        return {}
+    full = F.udf(lambda k, v, s: (k, format_of(k, v)) in left or (k, format_of(k, s)) in left, T.BooleanType())
+    used: dict[tuple[str, str], dict[str, str]] = {f: {} for f in left}
+    corpus: dict[tuple[str, str], set[str]] = {f: set() for f in left}
+    # formats that stay full after all rounds have about as many values as had collisions in the first one
+    for r in values.where(full("kind", "value", "surrogate")).collect():
+        for f in {(r.kind, format_of(r.kind, r.value)), (r.kind, format_of(r.kind, r.surrogate))} & left.keys():
+            used[f][r.value] = r.surrogate
+        if (f := (r.kind, format_of(r.kind, r.value))) in left:
+            corpus[f].add(r.value)
+    settled: Exceptions = {}
+    for (kind, f), own in left.items():
+        others = {v: s for v, s in used[kind, f].items() if v not in set(own)}
+        settled |= {(kind, v): s for v, s in settle(key, kind, own, others, corpus[kind, f]).items()}
+    same = sum(v == s for (_, v), s in settled.items())
+    again = sum(s in corpus[k, format_of(k, v)] for (k, v), s in settled.items()) - same
+    if same or again:
+        warnings.warn(f"formats without free values: {again} surrogates are distinct, but also values of the corpus; {same} values stay as they are", stacklevel=2)
+    return settled
+
+
 def check(docs: DataFrame, key: bytes, bound: int = 10_000, most: int = 20) -> tuple[int, Exceptions]:
     """The corpus' tweak, and the values that need another."""
     for tweak in range(0, most * 1000, 1000):
@@ -234,11 +377,10 @@ def check(docs: DataFrame, key: bytes, bound: int = 10_000, most: int = 20) -> t
             for r in bad:
                 exceptions[r.kind, r.value] = tweak + again
             known = dict(exceptions)
-            renew = F.udf(lambda k, v, s: canonical(k, surrogate(key, k, v, known[k, v])) if (k, v) in known else s, T.StringType())
+            renew = F.udf(lambda k, v, s: canonical(k, replacement(key, k, v, 0, known)) if (k, v) in known else s, T.StringType())
             values = materialize(values.select("kind", "value", renew("kind", "value", "surrogate").alias("surrogate")), "pii-values")
         else:
-            # values of formats too small for distinct surrogates: the space of their format is used up
-            return tweak, exceptions
+            return tweak, exceptions | settle_formats(values, key)
     raise ValueError("more colliding values than the bound under every tweak")
 
 

@@ -191,6 +191,47 @@ def test_snapshots(spark, tmp_path):
     assert (s.read("t").count(), s.read("t", 1).count()) == (2, 1)
 
 
+def test_arrive_by_takes_all_requests(spark):
+    from wayfare.plans import queries as q
+
+    d = "/root/testdata/sf0.001"
+    requests = {r.query_id: r for r in q.fx(spark, d, "requests")[0].collect()}
+    got = {r.query_id: r for r in q.arrive_by_all(spark, d).collect()}
+    assert len(got) > 10 and max(got) >= 10 and any((requests[i].dep_sec + 7200 - r.dep_sec) % 120 for i, r in got.items())
+    # forward: the departure found meets the deadline, the next minute's does not
+    probes = [(2 * i + k, requests[i].source, requests[i].target, r.dep_sec + 60 * k, requests[i].egress_sec) for i, r in got.items() for k in (0, 1)]
+    tries = spark.createDataFrame(probes, "query_id long, source long, target long, dep_sec long, egress_sec long")
+    arr = {r.query_id: r.arr for r in q._raptor(spark, d, requests=tries).groupBy("query_id").agg(F.min("arr").alias("arr")).collect()}
+    for i, r in got.items():
+        deadline = requests[i].dep_sec + 7200
+        assert arr[2 * i] == r.arr <= deadline
+        assert r.dep_sec == deadline or arr.get(2 * i + 1, deadline + 1) > deadline
+
+
+def test_road_route_takes_all_nodes(spark):
+    import heapq
+
+    from wayfare.plans import queries as q
+
+    d = "/root/testdata/sf0.001"
+    out = {}
+    for e in q._foot_edges(spark, d).collect():
+        out.setdefault(e.src, []).append((e.dst, e.cost))
+    n, dims = q.fx(spark, d, "g_nodes", "dims")
+    w, want = dims.first().w, {}
+    for (a,) in n.select("node").collect():
+        best, heap = {}, [(0, a)]
+        while heap:
+            ds, u = heapq.heappop(heap)
+            if u not in best:
+                best[u] = ds
+                for v, c in out.get(u, []):
+                    heapq.heappush(heap, (ds + c, v))
+        if (b := (a * 131 + 77) % (w * w)) in best:
+            want[a] = best[b]
+    assert len(want) > 10 and {r.request: r.ds for r in q.road_route_all(spark, d).collect()} == want
+
+
 def test_every_query_has_rows(spark):
     import __spark_entry__ as entry
     from wayfare.plans.queries import QUERIES

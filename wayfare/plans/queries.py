@@ -349,6 +349,15 @@ def arrive_by(spark: SparkSession, d: str) -> DataFrame:
     return routing.arrive_by(r, plan, 7200, 120)
 
 
+@query()
+def arrive_by_all(spark: SparkSession, d: str) -> DataFrame:
+    """All requests with the operator's own window, step and transfers, which SQL is too slow for."""
+    (r,) = fx(spark, d, "requests")
+    r = r.withColumn("deadline", F.col("dep_sec") + 7200).drop("dep_sec")
+    plan = lambda tries: _raptor(spark, d, requests=tries.select(F.col("probe").alias("query_id"), "source", "target", "dep_sec", "egress_sec"))
+    return routing.arrive_by(r, plan)
+
+
 _COST = f"greatest(1, (meters * {street.speed_factor(4.8)}) >> 16)"
 
 
@@ -412,6 +421,15 @@ def road_route(spark: SparkSession, d: str) -> DataFrame:
     return routing.road_route(_foot_edges(spark, d), r).select("request", "ds")
 
 
+@query()
+def road_route_all(spark: SparkSession, d: str) -> DataFrame:
+    """One route from each node, which SQL is too slow for."""
+    n, dims = fx(spark, d, "g_nodes", "dims")
+    w = dims.first().w
+    r = n.select(F.col("node").alias("request"), F.col("node").alias("src"), ((F.col("node") * 131 + 77) % (w * w)).alias("dst"))
+    return routing.road_route(_foot_edges(spark, d), r).select("request", "ds")
+
+
 # --- street --------------------------------------------------------------------------------------------------
 
 _HIGHWAYS = [*street.CLASSES, "proposed", "construction"]

@@ -244,6 +244,19 @@ def test_outliers_go_and_the_rest_stays(spark):
     assert [i for i, k in got.items() if not k] == [i for i in sorted(got) if i % 20 == 0] or {i for i, k in got.items() if not k} == {i for i in got if i % 20 == 0}
 
 
+def test_outliers_of_small_groups_go(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randrange(2, 9)))
+    rows = []
+    for i in range(200):
+        words = [word() for _ in range(rng.randrange(60, 300))]
+        # sources of 10 rows in one language, and a few languages of 4 rows
+        lang, source = ("en", f"s{i // 10}") if i < 180 else (f"l{i // 4}", None)
+        rows.append((i, " ".join(w + "###" for w in words) if i % 20 == 0 else " ".join(words), lang, source))
+    got = quality_rules.apply_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert len(got) == 200 and {r.doc_id for r in got if not r.kept} == set(range(0, 200, 20))
+
+
 def test_chi2():
     for p, k, want in ((0.5, 4, 3.357), (0.99, 4, 13.277), (0.95, 2, 5.991)):
         assert quality_rules.chi2_quantile(p, k) == pytest.approx(want, rel=0.02)

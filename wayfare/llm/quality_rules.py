@@ -7,13 +7,16 @@ Rows whose squared Mahalanobis distance passes a chi-square cut-off are rejected
 
 No group is gathered: each step sends one partial sum for each (task, group). Groups stay a DataFrame.
 
-Defined results: a null text has no words; null languages and sources are groups of their own; groups of
-fewer than ``min_rows`` rows, whose scatter says nothing, reject by base rules alone; repeated rows repeat
+Groups of fewer than ``min_rows`` rows, whose scatter says nothing, are judged by the estimate of their language
+over all sources, and languages of fewer rows by the estimate of all rows.
+
+Defined results: a null text has no words; null languages and sources are groups of their own; repeated rows repeat
 their result; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -162,13 +165,37 @@ def near_to(rows: DataFrame, fit: DataFrame, k: int) -> DataFrame:
     return join_groups(rows, fit).withColumn("d2", _distance(k)).drop("center", "inverse")
 
 
+def estimates(rows: DataFrame, k: int, support: float, steps: int, min_rows: int) -> DataFrame:
+    """lang, source, n, center, inverse for each group: its own estimate, or a small group's from a wider one."""
+    count = rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("rows"))
+    wide = count.groupBy("lang").agg(F.sum("rows").alias("wide")).withColumnRenamed("lang", "w_lang")
+    level = F.when(F.col("rows") >= min_rows, 0).when(F.col("wide") >= min_rows, 1).otherwise(2)
+    groups = materialize(count.join(wide, F.expr("lang <=> w_lang")).select(*KEYS, level.alias("level")), "rules-groups")
+    none = F.lit(None).cast("string")
+    found = []
+    for i in (r.level for r in groups.select("level").distinct().collect()):  # at most three
+        own = groups.where(F.col("level") == i).select(*KEYS)
+        if i == 0:
+            found.append(mcd(join_groups(rows, own), k, FLOORS, support, steps))
+            continue
+        if i == 1:
+            langs = own.select(F.col("lang").alias("w_lang")).distinct()
+            fit = mcd(rows.join(langs, F.expr("lang <=> w_lang"), "left_semi").withColumn("source", none), k, FLOORS, support, steps)
+            match = F.expr("lang <=> w_lang")
+        else:
+            fit = mcd(rows.withColumn("lang", none).withColumn("source", none), k, FLOORS, support, steps)
+            match = F.lit(True)
+        found.append(own.join(fit.drop("source").withColumnRenamed("lang", "w_lang"), match).select(*KEYS, "n", "center", "inverse"))
+    return functools.reduce(DataFrame.unionByName, found) if found else mcd(rows, k, FLOORS, support, steps)
+
+
 def apply_rules(docs: DataFrame, support: float = 0.75, steps: int = 6, quantile: float = 1 - 1e-9, min_rows: int = 30) -> DataFrame:
     """doc_id, the statistics, base_failed, distance2, kept for every row of ``docs(doc_id, text, lang, source)``."""
     xs = features()
     k = len(xs)
     rows = materialize(with_stats(docs).select("*", base_failed().alias("base_failed"), *[x.alias(f"x{i}") for i, x in enumerate(xs)]), "rules-stats")
-    fit = mcd(rows, k, FLOORS, support, steps)
-    verdict = ~F.col("base_failed") & ((F.col("n") < min_rows) | (F.col("d2") <= F.lit(chi2_quantile(quantile, k))))
+    fit = estimates(rows, k, support, steps, min_rows)
+    verdict = ~F.col("base_failed") & (F.col("d2") <= F.lit(chi2_quantile(quantile, k)))
     return near_to(rows, fit, k).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", verdict.alias("kept"), F.col("d2").alias("distance2")
     )

@@ -126,6 +126,15 @@ def test_markov_models():
     assert base == [] and [(k, a, b) for a, k, b in spans] == [(3, 6, 47)]
 
 
+def test_keys_of_letters_alone():
+    model, rng = secrets.default_model(), random.Random(6)
+    for letters in (secrets.ALPHABET[:52], secrets.ALPHABET[:26], secrets.ALPHABET[26:52]):
+        found = [bool(secrets.scan(f"see {''.join(rng.choices(letters, k=rng.randrange(16, 40)))} there", model)[1]) for _ in range(300)]
+        assert sum(found) > 290
+    ordinary = [s for s, y in secrets.labelled_samples(4000, seed=98) if not y and not any(c.isdigit() for c in s) and len(s) > 15]
+    assert len(ordinary) > 500 and sum(bool(secrets.scan(s, model)[1]) for s in ordinary) < 5
+
+
 def test_pii_properties():
     key = b"k"
     rng = random.Random(3)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]{12,}"), re.compile(r"[0-9a-f]{32,}")
-#: What the models look at: token characters, long enough to carry a secret, with at least one digit.
+#: What the models look at: token characters, long enough to carry a secret.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Ordinary words of four languages and of code, the parts of ordinary identifiers.
@@ -122,7 +122,7 @@ def markov_spans(text: str, taken: list[tuple[int, int, int]], model: MarkovPair
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
         token = m.group()
-        if not any(c.isdigit() for c in token) or token.isdigit() or any(s < b and a < e for s, _, e in taken):
+        if any(s < b and a < e for s, _, e in taken):
             continue
         if model.score(token) >= model.threshold:
             out.append((a, 3, b))

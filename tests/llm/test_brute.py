@@ -41,6 +41,24 @@ def test_bpe_as_the_library(spark, docs, texts):
         assert got[i].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
 
 
+def test_bpe_looks_up_whole_keys(spark):
+    pieces = bpe.read_ranks(spark, P.path("byte_bpe_50k.tiktoken"))
+    for some in (pieces, [bytes([b]) for b in range(256)] + [b"ab"]):
+        n, found = len(some) + 1, bpe.merges(some)
+        ranks = bpe.RankMap(some)
+        keys = [*range(0, n * n, 1 << 24), *list(found)[::500]]
+        got = spark.createDataFrame([(k, (k << 20) + k // n) for k in keys], "k long, x long").select("k", F.get(ranks.look(F.array("x")), F.lit(0)).alias("y")).collect()
+        assert len(got) == len(keys)
+        for r in got:
+            assert r.y & bpe.FIRST == r.k // n
+            assert (r.y >> 20 == found[r.k]) if r.k in found else r.y >= bpe.NO_PAIR, r.k
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks={p: i for i, p in enumerate(pieces)}, special_tokens={})
+    t = "setsfeed fatistics HondCol Parisgetting Bitsry"
+    (got,) = bpe.digests(spark.createDataFrame([(1, t)], "doc_id long, text string")).collect()
+    assert got.decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
+    assert got.ids_sha256 == hashlib.sha256(np.array(enc.encode_ordinary(t), "<u4").tobytes()).hexdigest()
+
+
 def components(sets):
     parent = {i: i for i in sets}
 

@@ -68,7 +68,7 @@ def merges(pieces: list[bytes]) -> dict[int, int]:
 def placed(found: dict[int, int]) -> dict[str, list[int]]:
     """A hash table without collisions: pairs of one bucket (low bits of the key) are shifted together until all are free.
 
-    An entry is key x 2^16 + rank; a free one is 0, which no pair has.
+    An entry is key x 2^16 + rank; a free one is 0, or beyond all keys where key 0 looks.
     """
     size = 1 << max(4, (len(found) * 3 // 2).bit_length())
     buckets: dict[int, list[int]] = {}
@@ -83,6 +83,8 @@ def placed(found: dict[int, int]) -> dict[str, list[int]]:
         shift[bucket] = d
         for k, x in zip(own, base, strict=True):
             entries[(x + d) & (size - 1)], free[(x + d) & (size - 1)] = (k << 16) + found[k], False
+    if free[shift[0] & (size - 1)]:
+        entries[shift[0] & (size - 1)] = 1 << 48
     return {"shift": shift, "entries": entries}
 
 
@@ -111,8 +113,8 @@ class RankMap:
         def one(x: Column) -> Column:
             key = F.shiftright(x, 20)
             at = (F.shiftright(key, 16) * _long(SPREAD) + F.get(self.shift, key.bitwiseAND(_long(DEALT - 1)).cast("int"))).bitwiseAND(_long(self.size - 1)).cast("int")
-            # what an entry has beyond this key is the rank; of another key's entry it has more than 16 bits, or wraps round
-            rank = (F.get(self.entries, at) - F.shiftleft(key, 16)).bitwiseAND(_long((1 << 40) - 1))
+            # an entry of this key leaves its rank; one of any other key differs above the 16 bits of ranks
+            rank = F.least(F.get(self.entries, at).bitwiseXOR(F.shiftleft(key, 16)), _long((1 << 40) - 1))
             return F.shiftleft(rank, 20) + x.bitwiseAND(_long(FIRST))
 
         return F.transform(pairs, one)

@@ -1,16 +1,20 @@
 """Byte-level BPE encoding and decoding.
 
-Texts are cut into pretokens by the tokenizer's pattern. Within a batch of documents, the distinct pretokens
+Texts are cut into pretokens by the tokenizer's pattern. Within a slice of documents, the distinct pretokens
 meet a fold of Spark's higher-order functions: from the ranks of single bytes, each step merges the leftmost
 pair of least rank, looked up in a literal rank map, until no pair has a rank. The map is a hash table without
 collisions, as array literals, from pairs of ranks to the rank of both together: Spark's own maps are searched
 entry by entry. Documents carry numbers of distinct pretokens,
 so that nothing is shuffled: cut (Python), fold (Catalyst expressions), put together (Python) run in one stage.
 
-Frequent pretokens of a bounded sample are folded once and sent to the tasks. That table only saves work, its
-size is limited by ``frequent``; every other pretoken is folded where it occurs.
+The public pattern is cut by array operations: its tokens begin where the class of the code point (white space,
+letter, digit, other) changes, with rules for a leading space and for contractions. Other patterns are matched as
+they are. Pretokens of at most 32 bytes are told apart by these bytes, held as four numbers, longer ones as objects.
 
-Decoding concatenates the binary pieces of the ids.
+Frequent pretokens of a bounded sample are folded once and sent to the tasks, at most ``frequent`` of them at about
+60 bytes each. That table only saves work; every other pretoken is folded where it occurs, once a slice.
+
+Decoding concatenates the binary pieces of the ids, taken from a literal array of pieces by Spark functions.
 
 Defined results: null and empty texts have no ids and decode to nothing; texts are processed whole, each
 pretoken alone, special tokens are ordinary text; repeated rows repeat their result; an empty table gives no
@@ -20,102 +24,126 @@ rows; further columns are ignored.
 from __future__ import annotations
 
 import base64
-import hashlib
+import functools
 import json
-import re
-from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
-import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import give_back, materialize, tidy
 
-#: Buckets of the hash table of pairs, and the factor that spreads their keys.
-DEALT, SPREAD = 1 << 16, 611953
+#: Bits of a rank: a vocabulary has fewer than 2^20 pieces. Buckets of the hash table of pairs.
+RANK_BITS, DEALT = 20, 1 << 16
+#: Factors that spread keys inside the table; the first one that suits the vocabulary is taken.
+SPREADS = (611953, 1299709, 15485863, 32452843, 49979687)
 #: The low bits of a state's numbers hold a piece's rank; from NO_PAIR on, the piece makes no pair with the next.
-FIRST, NO_PAIR = (1 << 20) - 1, 1 << 36
-#: Tokens that a batch gathers before its distinct pretokens are folded.
-BATCH_TOKENS = 600_000
-#: The pattern of byte_bpe_50k for texts of ASCII alone, where classes of letters, digits and spaces are short.
-ASCII_SPACE = r"\t\n\v\f\r "
-ASCII_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^{ASCII_SPACE}A-Za-z0-9]+|[{ASCII_SPACE}]+(?![^{ASCII_SPACE}])|[{ASCII_SPACE}]+"
+FIRST, NO_PAIR = (1 << RANK_BITS) - 1, 1 << (2 * RANK_BITS)
+#: Bytes of text that a slice gathers before its distinct pretokens are folded; longer documents are slices of their own.
+SLICE = 3_000_000
+#: Bytes of a pretoken that its four numbers hold.
+SHORT = 32
 
 
-def read_ranks(spark: SparkSession, path: str) -> list[bytes]:
+def read_ranks(path: str) -> list[bytes]:
     """Pieces by rank, from a file of base64 pieces and ranks on the driver; its size is that of the vocabulary."""
     with open(path, "rb") as f:
         pairs = sorted((int(rank), base64.b64decode(piece)) for piece, rank in map(bytes.split, f))
     return [piece for _, piece in pairs]
 
 
-def merges(pieces: list[bytes]) -> dict[int, int]:
-    """Key of a pair of ranks -> rank of the piece that both make together, for every way to cut a piece in two pieces."""
+def merges(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of pairs of ranks, and the rank of the piece that both make together, for every way to cut a piece in two pieces."""
     rank = {p: r for r, p in enumerate(pieces)}
-    found = {}
+    keys, ranks = [], []
     for r, p in enumerate(pieces):
         for k in range(1, len(p)):
             a, b = rank.get(p[:k]), rank.get(p[k:])
             if a is not None and b is not None:
-                found[a * (len(pieces) + 1) + b] = r
-    return found
-
+                keys.append(a * (len(pieces) + 1) + b)
+                ranks.append(r)
+    return np.array(keys, np.int64), np.array(ranks, np.int64)
+
+
+def placed(keys: np.ndarray, ranks: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """Spread, shifts and entries of a hash table without collisions: pairs of one bucket (low bits of the key) are
+    shifted together until all are free. An entry is key x 2^RANK_BITS + rank; a free one is 0, or beyond all keys
+    where key 0 looks."""
+    size = 1 << max(4, (len(keys) * 3 // 2).bit_length())
+    bucket = keys & (DEALT - 1)
+    order = np.argsort(bucket, kind="stable")
+    edges = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=DEALT))])
+    for spread in SPREADS:
+        base = ((keys >> 16) * spread) & (size - 1)
+        if len(np.unique(bucket * size + base)) == len(keys):
+            break
+    else:
+        raise ValueError("pairs of one bucket fall together under every spread")
+    shift, entries, free = np.zeros(DEALT, np.int64), np.zeros(size, np.int64), np.ones(size, bool)
+    steps = np.arange(16)
+    count = np.diff(edges)
+    for b in np.argsort(-count, kind="stable")[: int((count > 1).sum())].tolist():
+        own = order[edges[b] : edges[b + 1]]
+        begin = b * 2654435761  # buckets look from places of their own
+        for first in range(begin, begin + size, len(steps)):
+            at = (base[own][:, None] + (first + steps)) & (size - 1)
+            fits = free[at].all(axis=0)
+            if fits.any():
+                d = int(fits.argmax())
+                shift[b], place = (first + d) & (size - 1), at[:, d]
+                entries[place], free[place] = (keys[own] << RANK_BITS) + ranks[own], False
+                break
+        else:
+            raise ValueError("the table of pairs is too full")
+    single = np.flatnonzero(count == 1)  # these fit in any free place
+    own, place = order[edges[single]], np.flatnonzero(free)[: len(single)]
+    shift[single] = (place - base[own]) & (size - 1)
+    entries[place], free[place] = (keys[own] << RANK_BITS) + ranks[own], False
+    if free[shift[0] & (size - 1)]:
+        entries[shift[0] & (size - 1)] = 1 << 62
+    return spread, shift, entries
 
-def placed(found: dict[int, int]) -> dict[str, list[int]]:
-    """A hash table without collisions: pairs of one bucket (low bits of the key) are shifted together until all are free.
 
-    An entry is key x 2^16 + rank; a free one is 0, or beyond all keys where key 0 looks.
-    """
-    size = 1 << max(4, (len(found) * 3 // 2).bit_length())
-    buckets: dict[int, list[int]] = {}
-    for key in found:
-        buckets.setdefault(key & (DEALT - 1), []).append(key)
-    shift, entries, free = [0] * DEALT, [0] * size, [True] * size
-    for bucket, own in sorted(buckets.items(), key=lambda x: (-len(x[1]), x[0])):
-        base = [((k >> 16) * SPREAD) & (size - 1) for k in own]
-        if len(set(base)) < len(base):
-            raise ValueError("pairs of one bucket fall together; choose another SPREAD")
-        d = next(d for d in range(size) if all(free[(x + d) & (size - 1)] for x in base))
-        shift[bucket] = d
-        for k, x in zip(own, base, strict=True):
-            entries[(x + d) & (size - 1)], free[(x + d) & (size - 1)] = (k << 16) + found[k], False
-    if free[shift[0] & (size - 1)]:
-        entries[shift[0] & (size - 1)] = 1 << 48
-    return {"shift": shift, "entries": entries}
+@functools.lru_cache(maxsize=4)
+def _literals(pieces: tuple[bytes, ...]) -> tuple[int, int, str, str, str]:
+    spread, shift, entries = placed(*merges(list(pieces)))
+    single = {p: r for r, p in enumerate(pieces) if len(p) == 1}
+    table = json.dumps({"shift": shift.tolist(), "entries": entries.tolist()}, separators=(",", ":"))
+    return spread, len(entries), table, json.dumps([single[bytes([b])] for b in range(256)]), json.dumps([p.decode("latin-1") for p in pieces])
 
 
 class RankMap:
     """The rank map as literal arrays, and its lookups as column expressions."""
 
     def __init__(self, pieces: list[bytes]):
-        if len(pieces) >= 1 << 16:
-            raise ValueError("ranks have 16 bits")
+        if len(pieces) >= FIRST:
+            raise ValueError("ranks have 20 bits")
         self.edge = len(pieces)  # stands before and behind a word; no pair has it
-        table = placed(merges(pieces))
-        self.size = len(table["entries"])
+        self.spread, self.size, table, single, own = _literals(tuple(pieces))
         # constant folding turns the parsed text into array literals
-        read = F.from_json(F.lit(json.dumps(table, separators=(",", ":"))), "shift array<bigint>, entries array<bigint>")
+        read = F.from_json(F.lit(table), "shift array<bigint>, entries array<bigint>")
         self.shift, self.entries = read["shift"], read["entries"]
-        single = {p: r for r, p in enumerate(pieces) if len(p) == 1}
-        self.bytes = F.from_json(F.lit(json.dumps([single[bytes([b])] for b in range(256)])), "array<bigint>")
+        self.bytes = F.from_json(F.lit(single), "array<bigint>")
+        self.pieces = F.from_json(F.lit(own), "array<string>")
 
     def pair(self, a: Column, b: Column) -> Column:
         """Key of a pair and its first rank in one number."""
-        return F.shiftleft(a * _long(self.edge + 1) + b, 20) + a
+        return F.shiftleft(a * _long(self.edge + 1) + b, RANK_BITS) + a
 
     def look(self, pairs: Column) -> Column:
-        """For each pair its rank x 2^20 + its first rank; of pairs without a rank the number is NO_PAIR or more."""
+        """For each pair its rank x 2^RANK_BITS + its first rank; of pairs without a rank the number is NO_PAIR or more."""
 
         def one(x: Column) -> Column:
-            key = F.shiftright(x, 20)
-            at = (F.shiftright(key, 16) * _long(SPREAD) + F.get(self.shift, key.bitwiseAND(_long(DEALT - 1)).cast("int"))).bitwiseAND(_long(self.size - 1)).cast("int")
-            # an entry of this key leaves its rank; one of any other key differs above the 16 bits of ranks
-            rank = F.least(F.get(self.entries, at).bitwiseXOR(F.shiftleft(key, 16)), _long((1 << 40) - 1))
-            return F.shiftleft(rank, 20) + x.bitwiseAND(_long(FIRST))
+            key = F.shiftright(x, RANK_BITS)
+            at = (F.shiftright(key, 16) * _long(self.spread) + F.get(self.shift, key.bitwiseAND(_long(DEALT - 1)).cast("int"))).bitwiseAND(_long(self.size - 1)).cast("int")
+            # an entry of this key leaves its rank; one of any other key differs above the bits of ranks
+            rank = F.least(F.get(self.entries, at).bitwiseXOR(F.shiftleft(key, RANK_BITS)), _long((1 << 41) - 1))
+            return F.shiftleft(rank, RANK_BITS) + x.bitwiseAND(_long(FIRST))
 
         return F.transform(pairs, one)
 
@@ -149,7 +177,7 @@ def fold(word: Column, ranks: RankMap) -> Column:
         first = least < 0
 
         def merge(i: Column) -> Column:
-            new = F.shiftright(least, 20)  # the rank of a merged pair is that of its piece
+            new = F.shiftright(least, RANK_BITS)  # the rank of a merged pair is that of its piece
             before, behind = F.get(c, i - 2).bitwiseAND(_long(FIRST)), F.get(c, i + 1).bitwiseAND(_long(FIRST))
             every = let(own, lambda p: F.zip_with(p, F.slice(p, F.lit(2), F.size(p)), lambda a, b: ranks.pair(a, F.coalesce(b, _long(ranks.edge)))))
             found = ranks.look(F.when(first, every).otherwise(F.array(ranks.pair(before, new), ranks.pair(new, behind))))
@@ -162,36 +190,195 @@ def fold(word: Column, ranks: RankMap) -> Column:
     return F.aggregate(F.sequence(F.lit(0), size), start, step, inner)
 
 
-def as_chars(word: str) -> str:
-    return word.encode("utf-8", "surrogatepass").decode("latin-1")
+def decode(ids: Column, ranks: RankMap) -> Column:
+    """The bytes of ``ids``: their pieces, one after another."""
+    return F.encode(F.array_join(F.transform(ids, lambda i: F.get(ranks.pieces, i)), ""), "ISO-8859-1")
+
+
+#: Classes of code points.
+WHITE, LETTER, DIGIT, OTHER = range(4)
+
+
+@functools.lru_cache(maxsize=1)
+def classes() -> np.ndarray:
+    """Class of every code point under the public pattern's own classes."""
+    found = np.full(0x110000, OTHER, np.uint8)
+    points = np.concatenate([np.arange(0xD800), np.arange(0xE000, 0x110000)])
+    every = "".join(map(chr, points))
+    for code, pattern in ((LETTER, r"\p{L}+"), (DIGIT, r"\p{N}+"), (WHITE, r"\s+")):
+        for m in regex.finditer(pattern, every):
+            found[points[m.start() : m.end()]] = code
+    return found
 
 
-def cutter(pattern: str):
-    """text -> pretokens."""
-    full = regex.compile(pattern).findall
+def _shifted(x: np.ndarray, by: int, fill) -> np.ndarray:
+    """x[i + by] at i for ``by`` 1 or -1, ``fill`` beyond the ends."""
+    edge = np.array([fill], x.dtype)
+    return np.concatenate([x[1:], edge]) if by > 0 else np.concatenate([edge, x[:-1]])
+
+
+def public_starts(code: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Where the public pattern's tokens begin among code points; ``first`` marks the beginnings of texts."""
+    kind = classes()[code]
+    before = _shifted(kind, -1, 255)
+    change = (kind != before) | first
+    last = _shifted(first, 1, True)  # the last code point of its text
+    after = _shifted(kind, 1, WHITE)
+    white = kind == WHITE
+    spaced = _shifted(code == 32, -1, False) & ~first
+    starts = (white & (change | (~last & (after != WHITE)))) | (~white & change & ~spaced)
+    quote = np.flatnonzero((code == 39) & starts & ~last & (after == LETTER))
+    if len(quote):
+        one, two = code[quote + 1], np.where(quote + 2 < len(code), code[np.minimum(quote + 2, len(code) - 1)], 0)
+        two = np.where(last[quote + 1], 0, two)
+        short = np.isin(one, [ord(c) for c in "stmd"])
+        long_ = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+        starts[quote[short | long_] + 1] = False
+        for at, n in ((quote[short], 2), (quote[long_], 3)):
+            at = at + n
+            starts[at[at < len(code)]] = True
+    return starts
+
+
+def cut_points(data: np.ndarray, edges: np.ndarray, pattern: str) -> np.ndarray:
+    """First bytes of all pretokens of the texts that ``data`` (UTF-8 bytes) holds between ``edges``."""
     if pattern != public_tokenizers.PATTERN:
-        return full
-    plain = re.compile(ASCII_PATTERN).findall
-    return lambda text: plain(text) if text.isascii() else full(text)
+        full, out = regex.compile(pattern).findall, []
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            size = [len(w.encode()) for w in full(data[a:b].tobytes().decode())]
+            out.append(a + np.cumsum([0, *size[:-1]]) if size else np.zeros(0, np.int64))
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
+    if not len(data):
+        return np.zeros(0, np.int64)
+    code = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), "<u4")
+    at = np.flatnonzero((data & 0xC0) != 0x80)  # the first byte of each code point
+    first = np.zeros(len(code), bool)
+    begins = edges[:-1][edges[1:] > edges[:-1]]
+    first[np.searchsorted(at, begins)] = True
+    return at[public_starts(code, first)]
+
+
+MASKS = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
+FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+
+
+def numbers_of(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The first 32 bytes of each word as four numbers, zeros behind its end. ``data`` has 40 bytes behind the last word."""
+    window = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    out = np.zeros((4, len(start)), np.uint64)
+    out[0] = window[start] & MASKS[np.minimum(size, 8)]
+    for k in range(1, 4):
+        some = np.flatnonzero(size > 8 * k)
+        out[k, some] = window[start[some] + 8 * k] & MASKS[np.minimum(size[some] - 8 * k, 8)]
+    return out
+
+
+def mixed(numbers: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of each word; equal hashes are never taken for equal words."""
+    h = size.astype(np.uint64)
+    for n, f in zip(numbers, FACTORS, strict=True):
+        h = (h ^ n) * f
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def gathered(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
+    """The words as a binary array."""
+    ends = np.cumsum(size)
+    flat = data[np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat.tobytes())])
+
+
+class Words:
+    """The pretokens of some texts: ``code`` is each one's number among the distinct words, which begin at ``start`` and have ``size`` bytes."""
+
+    def __init__(self, texts: pa.Array, pattern: str):
+        texts = pc.fill_null(texts, "")
+        edges = np.frombuffer(texts.buffers()[1], np.int32 if texts.type == pa.string() else np.int64)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        raw = texts.buffers()[2]
+        plain = np.frombuffer(raw, np.uint8)[edges[0] : edges[-1]] if raw is not None and len(edges) else np.zeros(0, np.uint8)
+        self.data = np.concatenate([plain, np.zeros(40, np.uint8)])
+        edges = edges - edges[0]
+        begin = cut_points(plain, edges, pattern)
+        self.bounds = np.searchsorted(begin, edges)  # tokens of text i: bounds[i] to bounds[i + 1]
+        length = np.diff(np.append(begin, len(plain)))
+        numbers = numbers_of(self.data, begin, length)
+        _, rep, self.code = np.unique(mixed(numbers, length), return_index=True, return_inverse=True)
+        same = (length <= SHORT) & (length[rep][self.code] == length)
+        for n in numbers:
+            same &= n[rep][self.code] == n
+        other = np.flatnonzero(~same)  # long words, and words whose hash is another one's
+        word = lambda i: plain[begin[i] : begin[i] + length[i]].tobytes()
+        own = {word(rep[j]): j for j in np.flatnonzero(length[rep] > SHORT).tolist()}
+        more: list[int] = []
+        for i in other.tolist():
+            w = word(i)
+            if w not in own:
+                own[w] = len(rep) + len(more)
+                more.append(i)
+            self.code[i] = own[w]
+        rep = np.concatenate([rep, np.array(more, np.int64)]) if more else rep
+        self.start, self.size, self.numbers = begin[rep], length[rep], numbers[:, rep]
+
+    def counts(self) -> np.ndarray:
+        return np.bincount(self.code, minlength=len(self.start))
+
+
+class WordTable:
+    """Words of at most 32 bytes to places, told apart by all their bytes."""
+
+    def __init__(self, words: pa.Array):
+        size = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        start = np.concatenate([[0], np.cumsum(size)])[:-1].astype(np.int64)
+        data = np.concatenate([np.frombuffer(b"".join(words.to_pylist()), np.uint8), np.zeros(40, np.uint8)])
+        numbers = numbers_of(data, start, size)
+        h = mixed(numbers, size)
+        order = np.argsort(h, kind="stable")
+        short = order[size[order] <= SHORT]
+        self.source = short[np.append(True, h[short][1:] != h[short][:-1])] if len(short) else short  # one word for each hash
+        self.hash, self.numbers, self.size = h[self.source], numbers[:, self.source], size[self.source].astype(np.uint8)
+
+    def places(self, words: Words) -> np.ndarray:
+        """Place of each distinct word, -1 for words that the table has not."""
+        if not len(self.hash):
+            return np.full(len(words.start), -1)
+        h = mixed(words.numbers, words.size)
+        at = np.searchsorted(self.hash, h)
+        at[at == len(self.hash)] = 0
+        hit = (self.hash[at] == h) & (self.size[at] == words.size)
+        for mine, theirs in zip(self.numbers, words.numbers, strict=True):
+            hit &= mine[at] == theirs
+        return np.where(hit, at, -1)
+
+
+def slices(batches, least: int = SLICE):
+    """Batches of about ``least`` bytes in their first column."""
+    held, size = [], 0
+    for b in batches:
+        step = max(1, int(b.num_rows * least / max(1, b.column(0).nbytes)))
+        for at in range(0, b.num_rows, step):
+            held.append(b.slice(at, step))
+            size += held[-1].column(0).nbytes
+            if size >= least:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 def frequent_words(docs: DataFrame, pattern: str, sample: int, most: int) -> DataFrame:
-    """word: pretokens that a sample of about ``sample`` documents holds twice or more, at most ``most``."""
+    """word (bytes): pretokens that a sample of about ``sample`` documents holds twice or more, at most ``most``."""
     total = docs.count()
     part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1.0, sample / max(1, total)))))
 
     def run(batches):
-        cut = cutter(pattern)
-        counts: Counter = Counter()
-        for b in batches:
-            for t in b.column(0):
-                counts.update(cut(t.as_py() or ""))
-            if len(counts) > 1_000_000:
-                yield pa.RecordBatch.from_arrays([pa.array(map(as_chars, counts), pa.string()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
-                counts = Counter()
-        yield pa.RecordBatch.from_arrays([pa.array(map(as_chars, counts), pa.string()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
-
-    words = materialize(part.select("text").mapInArrow(tidy(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"), "bpe-words")
+        for t in slices(batches):
+            words = Words(_chunk(t.column(0)), pattern)
+            short = words.size <= SHORT
+            yield pa.RecordBatch.from_arrays([gathered(words.data, words.start[short], words.size[short]), pa.array(words.counts()[short])], names=["word", "n"])
+
+    words = materialize(part.select("text").mapInArrow(tidy(run), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"), "bpe-words")
     # the least count that at most ``most`` words reach, from the distribution of counts
     steps = words.groupBy(F.least("n", F.lit(1000)).alias("n")).count().orderBy(F.desc("n")).collect()  # at most 1000 rows
     have, least = 0, 1001
@@ -202,119 +389,68 @@ def frequent_words(docs: DataFrame, pattern: str, sample: int, most: int) -> Dat
     return words.where(F.col("n") >= least).select("word")
 
 
-class WordTable:
-    """Words to numbers, in sorted 64-bit hashes and one run of bytes: a few bytes a word, where a dict takes a hundred."""
-
-    def __init__(self, hashes: np.ndarray, starts: np.ndarray, text: bytes):
-        self.hashes, self.starts, self.text = hashes, starts, text
-
-    @classmethod
-    def of(cls, words: pa.Array) -> WordTable:
-        raw = [w.as_py().encode("latin-1") for w in words]
-        h = np.array([xxhash.xxh3_64_intdigest(w) for w in raw], np.uint64)
-        order = np.argsort(h, kind="stable")
-        order = order[np.append(True, h[order][1:] != h[order][:-1])] if len(order) else order  # one word for each hash
-        raw = [raw[i] for i in order]
-        table = cls(h[order], np.concatenate([[0], np.cumsum([len(w) for w in raw])]).astype(np.int64), b"".join(raw))
-        table.source = order
-        return table
-
-    def numbers(self, words: list[bytes]) -> list[int]:
-        """Number of each word, -1 for words that the table has not."""
-        h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-        at = np.searchsorted(self.hashes, h)
-        at[at == len(self.hashes)] = 0
-        hit = self.hashes[at] == h if len(self.hashes) else np.zeros(len(words), bool)
-        lo, hi, text = self.starts[at].tolist() if len(self.hashes) else [], self.starts[at + 1].tolist() if len(self.hashes) else [], self.text
-        at = at.tolist()
-        return [at[i] if ok and text[lo[i] : hi[i]] == w else -1 for i, (ok, w) in enumerate(zip(hit.tolist(), words, strict=True))]
+def _chunk(column: pa.ChunkedArray) -> pa.Array:
+    return column.chunk(0) if column.num_chunks else pa.array([], column.type)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, keep: list[str], frequent: int = 1_000_000, sample: int = 80_000) -> DataFrame:
     """``keep`` columns, ids (little-endian unsigned 32-bit integers) and decoded (bytes) for every row of ``docs(text)``."""
     spark = docs.sparkSession
-    pieces = read_ranks(spark, path)
-    ranks = RankMap(pieces)
+    ranks = RankMap(read_ranks(path))
     # plans are kept as text, in which the rank map would stand in full
     spark.conf.set("spark.sql.maxPlanStringLength", min(100_000, int(spark.conf.get("spark.sql.maxPlanStringLength").rstrip("b"))))
-    folded = frequent_words(docs, pattern, sample, frequent).select("word", fold(F.col("word"), ranks).alias("ids"))
-    known = materialize(folded, "bpe-known").toArrow()  # at most ``frequent`` rows
-    sent_words = spark.sparkContext.broadcast(WordTable.of(known["word"].combine_chunks()))
-    sent_ids = spark.sparkContext.broadcast((known["ids"].combine_chunks().take(pa.array(sent_words.value.source)), pieces))
-    del known
+    folded = frequent_words(docs, pattern, sample, frequent).select("word", fold(F.decode("word", "ISO-8859-1"), ranks).alias("ids"))
+    known = materialize(folded, "bpe-known").toArrow()  # at most ``frequent`` rows of at most 32 bytes
+    table = WordTable(known["word"].combine_chunks())
+    known_ids = known["ids"].combine_chunks().take(pa.array(table.source))
+    sent = spark.sparkContext.broadcast((table, known_ids.flatten().to_numpy().astype("<u4"), np.diff(known_ids.offsets.to_numpy())))
+    base = len(table.hash)
+    del known, known_ids, table
     give_back()
 
     fields = docs.select(*keep).schema
-    kept = ", ".join(f"`{f.name}`" for f in fields)
     inner = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in fields)
     doc_type = f"struct<{inner}, codes: binary>"
 
     def cut(batches):
-        split = cutter(pattern)
-        words_ = sent_words.value
-        base = len(words_.hashes)
-        seen: dict[str, int] = {}
-        rows: list[tuple[tuple, np.ndarray]] = []
-        count = 0
-        arrow_doc = None
-
-        def batch():
-            new = list(seen)
-            utf = [w.encode("utf-8", "surrogatepass") for w in new]
-            number, rare = words_.numbers(utf), []
-            for i, k in enumerate(number):
-                if k < 0:
-                    number[i] = base + len(rare)
-                    rare.append(utf[i].decode("latin-1"))
-            place = np.array(number, np.int32)
-            docs_ = pa.array([{**dict(zip(keep, k, strict=True)), "codes": place[c].tobytes()} for k, c in rows], arrow_doc)
-            return pa.RecordBatch.from_arrays([pa.array([rare], pa.list_(pa.string())), pa.ListArray.from_arrays(pa.array([0, len(docs_)], pa.int32()), docs_)], names=["words", "docs"])
-
-        for b in batches:
-            if arrow_doc is None:
-                arrow_doc = pa.struct([*[b.schema.field(i + 1) for i in range(len(keep))], pa.field("codes", pa.binary())])
-            extra = list(zip(*(b.column(i + 1).to_pylist() for i in range(len(keep))), strict=True)) or [()] * b.num_rows
-            for k, t in zip(extra, b.column(0), strict=True):
-                words = split(t.as_py() or "")
-                for w in set(words).difference(seen):
-                    seen[w] = len(seen)
-                rows.append((k, np.array([seen[w] for w in words], np.int32)))
-                count += len(words)
-                if count >= BATCH_TOKENS:
-                    yield batch()
-                    rows, seen, count = [], {}, 0
-        if rows:
-            yield batch()
+        for t in slices(batches):
+            words = Words(_chunk(t.column(0)), pattern)
+            place = sent.value[0].places(words)
+            rare = place < 0
+            place[rare] = base + np.arange(rare.sum())
+            codes = place.astype(np.int32)[words.code]
+            flat = pa.Array.from_buffers(pa.binary(), t.num_rows, [None, pa.py_buffer((words.bounds * 4).astype(np.int32).tobytes()), pa.py_buffer(codes.tobytes())])
+            docs_ = pa.StructArray.from_arrays([*(_chunk(t.column(i + 1)) for i in range(len(keep))), flat], names=[*keep, "codes"])
+            own = gathered(words.data, words.start[rare], words.size[rare])
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (own, docs_)], names=["words", "docs"])
 
     def join(batches):
-        known_ids, parts = sent_ids.value
-        flat0, off0 = known_ids.flatten().to_numpy(), known_ids.offsets.to_numpy() - known_ids.offsets[0].as_py()
-        part_len = np.array([len(p) for p in parts], np.int64)
+        _, flat0, lens0 = sent.value
         for b in batches:
             for words, rows in zip(b.column(0), b.column(1), strict=True):
-                own = words.values
-                flat = np.concatenate([flat0, own.flatten().to_numpy() if own is not None and len(own) else np.zeros(0, flat0.dtype)]).astype("<u4")
-                lens = np.concatenate([np.diff(off0), np.diff(own.offsets.to_numpy()) if own is not None and len(own) else np.zeros(0, np.int64)])
-                start = np.concatenate([[0], np.cumsum(lens)])[:-1]
-                table = rows.values
-                ids_out, text_out = [], []
-                for c in table.field("codes"):
-                    codes = np.frombuffer(c.as_buffer(), np.int32)
-                    n = lens[codes]
-                    ends = np.cumsum(n)
-                    ids = flat[np.repeat(start[codes] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
-                    ids_out.append(ids.tobytes())
-                    text_out.append(decode(ids, parts))
-                yield pa.RecordBatch.from_arrays([*[table.field(k) for k in keep], pa.array(ids_out, pa.binary()), pa.array(text_out, pa.binary())], names=[*keep, "ids", "decoded"])
-
-    cutted = docs.select(F.col("text").alias("__text"), *keep).mapInArrow(tidy(cut), f"words array<string>, docs array<{doc_type}>")
-    ready = cutted.select(F.transform("words", lambda w: fold(w, ranks)).alias("words"), "docs")
-    out = docs.select(*keep).schema.add("ids", "binary").add("decoded", "binary")
-    return ready.mapInArrow(tidy(join), out)
-
-
-def decode(ids: np.ndarray, pieces: list[bytes]) -> bytes:
-    return b"".join(map(pieces.__getitem__, ids.tolist()))
+                own, table = words.values, rows.values
+                some = own is not None and len(own)
+                flat = np.concatenate([flat0, own.flatten().to_numpy().astype("<u4")]) if some else flat0
+                lens = np.concatenate([lens0, np.diff(own.offsets.to_numpy())]) if some else lens0
+                ends0 = np.cumsum(lens)
+                codes_ = table.field("codes")
+                offsets = np.frombuffer(codes_.buffers()[1], np.int32)[codes_.offset : codes_.offset + len(codes_) + 1] // 4
+                codes = np.frombuffer(codes_.buffers()[2], np.int32)[offsets[0] : offsets[-1]] if codes_.buffers()[2] is not None else np.zeros(0, np.int32)
+                n = lens[codes]
+                ends = np.cumsum(n)
+                ids = flat[np.repeat(ends0[codes] - n - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+                bounds = np.concatenate([[0], ends])[offsets - offsets[0]]
+                data = pa.py_buffer(ids.tobytes())
+                binary = pa.Array.from_buffers(pa.binary(), len(codes_), [None, pa.py_buffer((bounds * 4).astype(np.int32).tobytes()), data])
+                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.Array.from_buffers(pa.int32(), len(ids), [None, data]))
+                out = pa.RecordBatch.from_arrays([*[table.field(k) for k in keep], binary, lists], names=[*keep, "ids", "tokens"])
+                step = max(1, int(out.num_rows * SLICE / max(1, 8 * len(ids))))
+                yield from (out.slice(at, step) for at in range(0, out.num_rows, step))
+
+    cutted = docs.select(F.col("text").cast("string").alias("__text"), *keep).mapInArrow(tidy(cut), f"words array<binary>, docs array<{doc_type}>")
+    ready = cutted.select(F.transform("words", lambda w: fold(F.decode(w, "ISO-8859-1"), ranks)).alias("words"), "docs")
+    out = docs.select(*keep).schema.add("ids", "binary").add("tokens", T.ArrayType(T.IntegerType()))
+    return ready.mapInArrow(tidy(join), out).select(*keep, "ids", decode(F.col("tokens"), ranks).alias("decoded"))
 
 
 def digests(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:

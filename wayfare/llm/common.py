@@ -30,9 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a folder of this machine only where none is set (tests)."""
+    """The cluster's shared checkpoint folder; a folder of this machine only in local mode without one (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = getattr(spark, "_wayfare_shared_dir", None) or f"file://{tempfile.mkdtemp(prefix='wayfare-')}"
         spark._wayfare_shared_dir = at
     return at.rstrip("/")
@@ -47,6 +49,11 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def positional(df: DataFrame) -> DataFrame:
+    """``df`` with columns named by place: map functions don't take every name that a column may have."""
+    return df.toDF(*[f"__{i}" for i in range(len(df.columns))])
+
+
 def n_words(text: Column) -> Column:
     """Number of words; null and blank texts have none."""
     inner = F.regexp_replace(F.coalesce(text, F.lit("")), rf"^{SPACE_CLASS}+|{SPACE_CLASS}+$", "")
@@ -69,8 +76,11 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return inner
 
 
-def give_back() -> None:
-    """Return free memory of this process to the system."""
+def give_back(spark: SparkSession | None = None) -> None:
+    """Return free memory of this process to the system, and on the driver that of its JVM: what earlier queries
+    left there (plans, broadcasts, results) would otherwise stay until the heap is full."""
+    if spark is not None:
+        spark.sparkContext._jvm.System.gc()
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:

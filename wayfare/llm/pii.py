@@ -1,37 +1,43 @@
 """Personal data: keyed surrogates of the same type, script, gender and format.
 
 Entities are e-mail addresses, phone numbers, IPv4 addresses, card and account numbers, IBANs, social security
-numbers, and names behind a title or led by a known first name. A surrogate is a keyed permutation inside the
+numbers, and names behind a title, led by a known first name, or (Cyrillic) a surname before one; names in capitals
+too. A surrogate is a keyed permutation inside the
 entity's format: digits go to digits, vowels to vowels and consonants to consonants of the same script, case and
-separators stay, check digits are made valid again, first names stay in the list of their script and gender. So
-the same value has the same surrogate wherever and however it is written (coreference), and different values
-have different ones (distinctness).
+separators stay, check digits are made valid again, first names stay in the list of their script and gender, and
+endings of surnames that tell a gender stay. So the same value has the same surrogate wherever and however it is
+written (coreference), and different values have different ones (distinctness).
 
-The collision check runs over all distinct values of the corpus: values whose surrogate is shared, unchanged
-or itself a value of the corpus get a surrogate under the next tweak, until none is left or ``most`` rounds are
-over. Formats that are then too full for it are settled exactly: what is left takes the format's free values in a
-keyed order and, when these are used up, values of the corpus, distinct and never its own. A warning counts those,
-and values that stay as they are because their format holds nothing else. These exceptions are sent to the tasks
-while they number at most ``bound``; beyond it the whole corpus gets the next tweak.
+The collision check runs over all distinct values of the corpus, as joins: values whose surrogate is shared,
+unchanged or itself a value of the corpus get a surrogate under the next tweak, in up to ``most`` rounds (each leaves the share of a format that is in use). What then is
+left lies in formats that are too full for it, and is settled exactly, also as joins: the format's values that nobody
+has, in a keyed order, go to what is left by rank; when these are used up, values of the corpus, distinct and
+never a value's own. A warning counts those, and values that stay as they are because their format holds nothing else.
+
+Surrogates that differ from the first tweak's are exceptions. At most ``bound`` of them are sent to the tasks; when
+there are more, documents that hold some get theirs by joins. Both ways give the same texts.
 
 Defined results: null texts stay null, with no entities; texts are processed whole; repeated rows repeat their
-result; an empty table gives no rows; further columns are kept by :func:`replace_in`.
+result; an empty table gives no rows; further columns are kept by :func:`replace_in`, but for one named
+``n_entities``, which the count takes the place of where it is asked for.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import math
 import re
 import warnings
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, tidy
+from .common import materialize, positional, tidy
 
 #: Common first names by script and gender, and titles that lead a name.
 FIRST = {
@@ -45,6 +51,10 @@ FIRST = {
 TITLES = "Mr Mrs Ms Miss Dr Prof Sir Herr Frau Fräulein Monsieur Madame Mademoiselle Mme Mlle Señor Señora Sr Sra Don Doña".split()
 #: Letters that are permuted, by script: vowels, consonants.
 LETTERS = {"latin": ("aeiou", "bcdfghjklmnpqrstvwxyz"), "cyrillic": ("аеиоуыэюя", "бвгджзклмнпрстфхцчшщ"), "greek": ("αεηιουω", "βγδζθκλμνξπρστφχψ")}
+#: Endings of names that tell a gender; they stay. Longer ones go first.
+ENDINGS = "ovich evich ovna evna skaya skiy ovsky ovska ova eva ina ska sky ski opoulou idou ides idis akis aki poulos ова ева ёва ина ына ская цкая ский цкий ая ий ов ев ёв ин ын ович евич овна евна опούλου ίδου ίδης άκης άκη όπουλος ου ος ης ας a а я η α".split()
+#: Endings of Cyrillic surnames, which may stand before the first name.
+SURNAMES = ("ов", "ев", "ёв", "ин", "ын", "ова", "ева", "ёва", "ина", "ына", "ский", "ская", "цкий", "цкая", "енко", "чук", "юк")
 GENDER = {name: (script, sex) for (script, sex), names in FIRST.items() for name in names}
 CLASS = {c: (script, i) for script, parts in LETTERS.items() for i, part in enumerate(parts) for c in part} | {d: ("digit", 0) for d in "0123456789"}
 RADIX = {(s, i): part for s, parts in LETTERS.items() for i, part in enumerate(parts)} | {("digit", 0): "0123456789"}
@@ -58,18 +68,26 @@ SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", re.ASCII)
 PHONE = re.compile(r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d(?:[ .-]?\d){5,12}|\(\d{2,4}\) ?\d{3,4}[ .-]?\d{3,5}|\d{3}[.-]\d{3}[.-]\d{4}|0\d{2,4}[ /-]\d{3,5}[ -]?\d{2,5})(?![\w]|-\d|\.\d)", re.ASCII)
 UPPER, LOWER = "A-ZÀ-ÖØ-ÞА-ЯЁΑ-ΩΆΈ-Ώ", "a-zß-öø-ÿа-яёα-ωά-ώ"
 WORD = rf"[{UPPER}][{LOWER}]+(?:-[{UPPER}][{LOWER}]+)?"
-PAIR = re.compile(rf"(?<![\w])(?=({WORD}) ({WORD})(?![\w]))")
-TITLED = re.compile(rf"(?<!\w)(?:{'|'.join(TITLES)})\.? ({WORD})(?: ({WORD}))?(?!\w)")
+CAPITALS = rf"[{UPPER}]{{2,}}(?:-[{UPPER}]{{2,}})?"
+ANY = rf"(?:{WORD}|{CAPITALS})"
+PAIR = re.compile(rf"(?<![\w])(?=({ANY}) ({ANY})(?![\w]))")
+TITLED = re.compile(rf"(?<!\w)(?:{'|'.join(TITLES)})\.? (?:({WORD})(?: ({WORD}))?|({CAPITALS})(?: ({CAPITALS}))?)(?!\w)")
 KINDS = ("email", "ip", "iban", "card", "ssn", "phone", "name")
 
 
+def plain_case(name: str) -> str:
+    """A name in capitals as it is otherwise written; other names as they are."""
+    return "-".join(w[0] + w[1:].lower() for w in name.split("-")) if len(name) > 1 and name.isupper() else name
+
+
 def find(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind), in order, without overlaps; earlier kinds go first."""
     found: list[tuple[int, int, str]] = []
 
     def add(kind: str, a: int, b: int) -> None:
-        if all(b <= x or y <= a for x, y, _ in found):
-            found.append((a, b, kind))
+        at = bisect.bisect_left(found, (a,))
+        if (at == 0 or found[at - 1][1] <= a) and (at == len(found) or b <= found[at][0]):
+            found.insert(at, (a, b, kind))
 
     if "@" in text:
         for m in EMAIL.finditer(text):
@@ -79,14 +97,21 @@ def find(text: str) -> list[tuple[int, int, str]]:
             for m in pattern.finditer(text):
                 add(kind, *m.span())
     for m in PAIR.finditer(text):
-        if m[1] in GENDER:
+        one, two = m[1], m[2]
+        if one.isupper() == two.isupper() and (plain_case(one) in GENDER or plain_case(two) in GENDER and one.lower().endswith(SURNAMES)):
             add("name", *m.span(1))
             add("name", *m.span(2))
     for m in TITLED.finditer(text):
-        for g in (1, 2):
+        for g in range(1, 5):
             if m[g]:
                 add("name", *m.span(g))
-    return sorted(found)
+    return found
+
+
+def stem(name: str) -> int:
+    """Letters of a name before an ending that tells a gender; two of them at least move."""
+    low = name.lower()
+    return next((len(name) - len(e) for e in ENDINGS if low.endswith(e) and len(name) - len(e) >= 2), len(name))
 
 
 def _round(key: bytes, tweak: str, r: int, part: tuple[int, ...]) -> int:
@@ -113,10 +138,10 @@ def permute(key: bytes, tweak: str, digits: list[int], radix: list[int]) -> list
     return x
 
 
-def shuffle_text(key: bytes, tweak: str, value: str, keep: int = 0) -> str:
-    """Permute letters and digits of ``value`` behind the first ``keep`` of them, each within its class; the rest stays."""
+def shuffle_text(key: bytes, tweak: str, value: str, keep: int = 0, end: int | None = None) -> str:
+    """Permute letters and digits of ``value`` before ``end`` and behind the first ``keep`` of them, each within its class; the rest stays."""
     low = value.lower() if len(value.lower()) == len(value) else value
-    at = [i for i, c in enumerate(low) if c in CLASS][keep:]
+    at = [i for i, c in enumerate(low[:end]) if c in CLASS][keep:]
     sets = [RADIX[CLASS[low[i]]] for i in at]
     new = permute(key, tweak, [s.index(low[i]) for s, i in zip(sets, at, strict=True)], [len(s) for s in sets])
     out = list(value)
@@ -142,7 +167,7 @@ def canonical(kind: str, value: str) -> str:
         return ("+" if value[0] == "+" else "") + "".join(filter(str.isdigit, value))
     if kind == "iban":
         return value.replace(" ", "")
-    return value.lower() if kind == "email" else value
+    return value.lower() if kind == "email" else plain_case(value)
 
 
 @lru_cache(maxsize=64)
@@ -169,12 +194,15 @@ def surrogate(key: bytes, kind: str, value: str, tweak: int = 0) -> str:
         check = 98 - int("".join(str(int(c, 36)) for c in plain)) % 97
         return f"{country}{check:02}{body}"
     if kind == "name":
-        if value in GENDER:
-            return _name_order(key, t, *GENDER[value])[value]
-        new = shuffle_text(key, t, value)
-        while new in GENDER:  # walk the permutation's cycle: listed names are surrogates of listed names alone
-            new = shuffle_text(key, t, new)
-        return new
+        own = plain_case(value)
+        if own in GENDER:
+            new = _name_order(key, t, *GENDER[own])[own]
+        else:
+            end = stem(own)
+            new = shuffle_text(key, f"{t}|{own[end:].lower()}", own, end=end)
+            while new in GENDER or stem(new) != end:  # walk the permutation's cycle inside the format: listed names are surrogates of listed names alone
+                new = shuffle_text(key, f"{t}|{own[end:].lower()}", new, end=end)
+        return new if own == value else new.upper()
     digits = "".join(filter(str.isdigit, value))
     if kind == "card":
         if luhn(digits[:-1]) == int(digits[-1]):
@@ -189,21 +217,22 @@ def surrogate(key: bytes, kind: str, value: str, tweak: int = 0) -> str:
     return put_digits(value, shuffle_text(key, f"{t}|{digits[:country]}", digits, country + (kind == "phone")))
 
 
-#: Values with a tweak or a surrogate (canonical) of their own.
-Exceptions = dict[tuple[str, str], int | str]
+#: (kind, canonical value) -> canonical surrogate, where it isn't that of the first tweak.
+Exceptions = dict[tuple[str, str], str]
 
 
-def replacement(key: bytes, kind: str, value: str, tweak: int, exceptions: Exceptions) -> str:
-    """The surrogate of ``value`` under the corpus' tweak and its exceptions, written in its format."""
-    own = exceptions.get((kind, canonical(kind, value)), tweak)
-    if isinstance(own, int):
-        return surrogate(key, kind, value, own)
+def replacement(key: bytes, kind: str, value: str, exceptions: Exceptions) -> str:
+    """The surrogate of ``value``, written in its format; it depends on the canonical value alone."""
+    plain = canonical(kind, value)
+    own = exceptions.get((kind, plain)) or canonical(kind, surrogate(key, kind, plain))
     if kind in ("card", "ssn", "phone"):
         return put_digits(value, own.lstrip("+"))
     if kind == "iban":
         it = iter(own)
         return "".join(c if c == " " else next(it) for c in value)
-    return "".join(n.upper() if c.isupper() else n for c, n in zip(value, own, strict=True)) if kind == "email" else own
+    if kind == "email":
+        return "".join(n.upper() if c.isupper() else n for c, n in zip(value, own, strict=True))
+    return own.upper() if kind == "name" and plain_case(value) != value else own
 
 
 def _moving(kind: str, value: str) -> list[int]:
@@ -216,7 +245,7 @@ def _moving(kind: str, value: str) -> list[int]:
     elif kind == "phone":
         places = range(len(re.match(r"\+\d{0,3}|", value)[0]) + 1, n)
     else:
-        places = range(4 if kind == "iban" else 0, n)
+        places = range(4 if kind == "iban" else 0, stem(value) if kind == "name" else n)
     return [i for i in places if value[i].lower() in CLASS]
 
 
@@ -237,20 +266,24 @@ def format_of(kind: str, value: str) -> str:
     return "".join(out)
 
 
-def format_values(key: bytes, kind: str, value: str) -> Iterator[str]:
-    """All canonical values of the format of ``value``, in a keyed order."""
+def format_size(kind: str, value: str) -> int:
+    """Places in the keyed order of the format of ``value``; some may hold no value."""
+    if kind == "name" and value in GENDER:
+        return len(FIRST[GENDER[value]])
+    return 256**3 if kind == "ip" else math.prod(len(RADIX[CLASS[value[i].lower()]]) for i in _moving(kind, value))
+
+
+def format_values(key: bytes, kind: str, value: str, first: int = 0, last: int | None = None) -> Iterator[str]:
+    """The canonical values of the format of ``value`` at the places from ``first`` to before ``last`` of a keyed order."""
     tweak = f"settle|{format_of(kind, value)}"
     if kind == "name" and value in GENDER:
-        yield from sorted(FIRST[GENDER[value]], key=lambda w: _round(key, f"{tweak}|{w}", 0, ()))
+        yield from sorted(FIRST[GENDER[value]], key=lambda w: _round(key, f"{tweak}|{w}", 0, ()))[first:last]
         return
     at = [1, 2, 3] if kind == "ip" else _moving(kind, value)
     parts = value.split(".") if kind == "ip" else list(value)
     sets = [[*map(str, range(256))] if kind == "ip" else RADIX[CLASS[value[i].lower()]] for i in at]
-    size = 1
-    for s in sets:
-        size *= len(s)
     valid = kind == "card" and luhn(value[:-1]) == int(value[-1])
-    for k in range(size):
+    for k in range(first, min(format_size(kind, value) if last is None else last, format_size(kind, value))):
         digits = []
         for s in sets:
             k, d = divmod(k, len(s))
@@ -263,69 +296,49 @@ def format_values(key: bytes, kind: str, value: str) -> Iterator[str]:
             new = f"{new[:2]}{98 - int(''.join(str(int(c, 36)) for c in new[4:] + new[:2] + '00')) % 97:02}{new[4:]}"
         elif valid:
             new = new[:-1] + str(luhn(new[:-1]))
-        if not (kind == "card" and not valid and luhn(new[:-1]) == int(new[-1])) and not (kind == "name" and new in GENDER):
+        if not (kind == "card" and not valid and luhn(new[:-1]) == int(new[-1])) and not (kind == "name" and (new in GENDER or stem(new) != stem(value))):
             yield new
 
 
-def settle(key: bytes, kind: str, left: list[str], used: dict[str, str], corpus: set[str]) -> dict[str, str]:
-    """Surrogates for the values ``left`` of one format: free values first, then values of the corpus.
-
-    ``used`` are the surrogates of the other values in or into this format, ``corpus`` the format's values there.
-    All are distinct, and none is the value itself unless the format holds no other. Values of ``used`` are in
-    the result if they had to give theirs.
-    """
-    left, taken, new = sorted(left), set(used.values()), {}
-    second: list[str] = []
-    todo = iter(left)
-    at = next(todo, None)
-    for c in format_values(key, kind, left[0]):
-        if at is None:
-            break
-        if c in corpus:
-            second.append(c)
-        elif c not in taken:
-            new[at] = c
-            at = next(todo, None)
-    spare = [c for c in second if c not in taken]
-    for v in left[len(new) :]:
-        c = next((c for c in spare if c != v), None)
-        if c is None:  # its own is the last one: change with another value of the format
-            u = next((u for u in (*new, *used) if u in corpus and u != v), None)
-            new[v] = v if u is None else new.get(u, used.get(u))
-            if u is not None:
-                new[u] = v
-        else:
-            new[v] = c
-            spare.remove(c)
-    return new
-
-
-def rewrite(text: str | None, key: bytes, tweak: int, exceptions: Exceptions) -> tuple[str | None, int]:
+def rewrite(text: str | None, key: bytes, exceptions: Exceptions) -> tuple[str | None, int]:
     if not text:
         return text, 0
     spans = find(text)
     out, at = [], 0
     for a, b, kind in spans:
         value = text[a:b]
-        out += [text[at:a], replacement(key, kind, value, tweak, exceptions)]
+        out += [text[at:a], replacement(key, kind, value, exceptions)]
         at = b
     return "".join([*out, text[at:]]), len(spans)
 
 
-def values_of(docs: DataFrame, key: bytes, tweak: int) -> DataFrame:
-    """Distinct kind, value, surrogate (both canonical) of the corpus."""
+def _mapped(df: DataFrame, make, schema: str) -> DataFrame:
+    """Rows that ``make`` yields for the rows of each batch, a batch at a time."""
+    types = df.sparkSession.createDataFrame([], schema).schema
+    arrow = {"string": pa.string(), "bigint": pa.int64()}
 
     def run(batches):
         for b in batches:
-            seen = {}
-            for t in b.column(0):
-                text = t.as_py() or ""
-                for a, z, kind in find(text):
-                    seen.setdefault((kind, canonical(kind, text[a:z])), text[a:z])
-            rows = [(k, c, canonical(k, surrogate(key, k, raw, tweak))) for (k, c), raw in seen.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=["kind", "value", "surrogate"])
+            rows = list(make(zip(*(c.to_pylist() for c in b.columns), strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], arrow[f.dataType.simpleString()]) for i, f in enumerate(types)], names=types.names)
+
+    return df.mapInArrow(tidy(run), schema)
+
+
+VALUES = "kind string, value string, format string, surrogate string"
 
-    return docs.select("text").mapInArrow(tidy(run), "kind string, value string, surrogate string").distinct()
+
+def values_of(docs: DataFrame, key: bytes) -> DataFrame:
+    """Distinct kind, value, format, surrogate (value and surrogate canonical) of the corpus."""
+
+    def make(rows):
+        seen = {}
+        for (text,) in rows:
+            for a, z, kind in find(text or ""):
+                seen.setdefault((kind, canonical(kind, text[a:z])))
+        return [(k, c, format_of(k, c), canonical(k, surrogate(key, k, c))) for k, c in seen]
+
+    return _mapped(docs.select("text"), make, VALUES).distinct()
 
 
 def collisions(values: DataFrame) -> DataFrame:
@@ -336,67 +349,120 @@ def collisions(values: DataFrame) -> DataFrame:
     return shared.union(values.join(known, ["kind", "surrogate"], "left_semi").select("kind", "value")).distinct()
 
 
-def settle_formats(values: DataFrame, key: bytes) -> Exceptions:
-    """Surrogates for what collides in formats that are too full for another round."""
-    left: dict[tuple[str, str], list[str]] = {}
-    for r in collisions(values).collect():  # no more than the last round's
-        left.setdefault((r.kind, format_of(r.kind, r.value)), []).append(r.value)
-    if not left:
-        return {}
-    full = F.udf(lambda k, v, s: (k, format_of(k, v)) in left or (k, format_of(k, s)) in left, T.BooleanType())
-    used: dict[tuple[str, str], dict[str, str]] = {f: {} for f in left}
-    corpus: dict[tuple[str, str], set[str]] = {f: set() for f in left}
-    # formats that stay full after all rounds have about as many values as had collisions in the first one
-    for r in values.where(full("kind", "value", "surrogate")).collect():
-        for f in {(r.kind, format_of(r.kind, r.value)), (r.kind, format_of(r.kind, r.surrogate))} & left.keys():
-            used[f][r.value] = r.surrogate
-        if (f := (r.kind, format_of(r.kind, r.value))) in left:
-            corpus[f].add(r.value)
-    settled: Exceptions = {}
-    for (kind, f), own in left.items():
-        others = {v: s for v, s in used[kind, f].items() if v not in set(own)}
-        settled |= {(kind, v): s for v, s in settle(key, kind, own, others, corpus[kind, f]).items()}
-    same = sum(v == s for (_, v), s in settled.items())
-    again = sum(s in corpus[k, format_of(k, v)] for (k, v), s in settled.items()) - same
+#: Places of a format that a row lists, and hash buckets in which ranks are counted.
+PLACES, BUCKETS = 4096, 4096
+
+
+def _ranked(rows: DataFrame, order: Column) -> DataFrame:
+    """Adds ``rank`` from 0 on within each (kind, format), by hash bucket and then ``order``; no task sees a whole format."""
+    b = rows.withColumn("bucket", F.pmod(F.xxhash64(order), F.lit(BUCKETS)))
+    sizes = b.groupBy("kind", "format", "bucket").agg(F.count(F.lit(1)).alias("size"))  # at most BUCKETS rows for a format
+    before = sizes.withColumn("before", F.sum("size").over(Window.partitionBy("kind", "format").orderBy("bucket")) - F.col("size")).drop("size")
+    inside = F.row_number().over(Window.partitionBy("kind", "format", "bucket").orderBy(order))
+    return b.withColumn("inside", inside).join(before, ["kind", "format", "bucket"]).withColumn("rank", F.col("before") + F.col("inside") - 1).drop("bucket", "inside", "before")
+
+
+def settle(values: DataFrame, left: DataFrame, key: bytes) -> DataFrame:
+    """``values`` with new surrogates for ``left(kind, value)``, whose formats are too full for another tweak.
+
+    A format's values that are neither in the corpus nor taken go to what is left, by rank. What is then left takes
+    values of the corpus that nobody has as a surrogate: others' first, its own kind in a ring, and where a single one
+    would have to keep itself, it changes with another value of the format.
+    """
+    here = ["kind", "format"]
+    left = materialize(values.join(left, ["kind", "value"], "left_semi").select("kind", "format", "value"), "pii-left")
+    stay = values.join(left.select("kind", "value"), ["kind", "value"], "left_anti")
+    one = left.groupBy(*here).agg(F.min("value").alias("value"))
+    places = _mapped(one, lambda rows: ((k, f, v, i) for k, f, v in rows for i in range(0, format_size(k, v), PLACES)), "kind string, format string, value string, first bigint")
+    every = _mapped(places.repartition("kind", "format", "first"), lambda rows: ((k, f, x) for k, f, v, i in rows for x in format_values(key, k, v, i, i + PLACES)), "kind string, format string, surrogate string")
+    taken = stay.select("kind", "surrogate")
+    corpus = values.select("kind", F.col("value").alias("surrogate"))
+    spare = materialize(every.join(taken, ["kind", "surrogate"], "left_anti"), "pii-spare")
+    free = _ranked(spare.join(corpus, ["kind", "surrogate"], "left_anti"), F.col("surrogate"))
+    pairs = _ranked(left, F.col("value")).join(free, [*here, "rank"], "left").select(*here, "value", "surrogate")
+    pairs = materialize(pairs, "pii-settled")
+    done, rest = pairs.where("surrogate IS NOT NULL"), pairs.where("surrogate IS NULL").select(*here, "value")
+    if not rest.isEmpty():
+        used = spare.join(corpus, ["kind", "surrogate"], "left_semi")
+        ring = rest.join(used.select("kind", F.col("surrogate").alias("value")), ["kind", "value"], "left_semi")  # could keep themselves
+        apart = _ranked(rest.join(ring, ["kind", "value"], "left_anti").select(*here, "value"), F.col("value"))
+        others = _ranked(used.join(rest.select("kind", F.col("value").alias("surrogate")), ["kind", "surrogate"], "left_anti"), F.col("surrogate"))
+        # values that can't keep themselves take others' first, then those that could give theirs
+        numbered = materialize(_ranked(ring, F.col("value")), "pii-ring")
+        size = numbered.groupBy(*here).agg(F.count(F.lit(1)).alias("size"))
+        first = apart.join(others, [*here, "rank"], "left").select(*here, "value", "surrogate")
+        turned = numbered.join(size, here).select(*here, "value", ((F.col("rank") + 1) % F.col("size")).alias("rank"))
+        second = turned.join(numbered.select(*here, "rank", F.col("value").alias("surrogate")), [*here, "rank"]).select(*here, "value", "surrogate")
+        done = materialize(done.union(first).union(second), "pii-settled")
+        if not done.where("value = surrogate").isEmpty():  # one in a format at most: it changes with another one
+            own = done.where("value = surrogate").select(*here, F.col("value").alias("own"))
+            all_ = stay.select(*here, "value", "surrogate").union(done.where("value != surrogate"))
+            mate = all_.join(own, here).groupBy(*here, "own").agg(F.min(F.struct("value", "surrogate")).alias("m"))
+            swap = mate.select(*here, F.col("own").alias("value"), F.col("m.surrogate").alias("surrogate")).union(mate.select(*here, F.col("m.value"), F.col("own")))
+            swap = materialize(swap, "pii-swap")
+            done = done.join(swap, ["kind", "value"], "left_anti").select(*here, "value", "surrogate").union(swap)
+    new = materialize(done, "pii-settled")
+    again = new.join(corpus, ["kind", "surrogate"], "left_semi").where("value != surrogate").count()
+    same = new.where("value = surrogate").count()
     if same or again:
         warnings.warn(f"formats without free values: {again} surrogates are distinct, but also values of the corpus; {same} values stay as they are", stacklevel=2)
-    return settled
-
-
-def check(docs: DataFrame, key: bytes, bound: int = 10_000, most: int = 20) -> tuple[int, Exceptions]:
-    """The corpus' tweak, and the values that need another."""
-    for tweak in range(0, most * 1000, 1000):
-        values = materialize(values_of(docs, key, tweak), "pii-values")
-        exceptions: Exceptions = {}
-        for again in range(1, most + 1):
-            bad = collisions(values).limit(bound + 1).collect()  # at most bound + 1 rows reach the driver
-            if not bad:
-                return tweak, exceptions
-            if len(bad) + len(exceptions) > bound:
-                break  # the next tweak for the whole corpus
-            for r in bad:
-                exceptions[r.kind, r.value] = tweak + again
-            known = dict(exceptions)
-            renew = F.udf(lambda k, v, s: canonical(k, replacement(key, k, v, 0, known)) if (k, v) in known else s, T.StringType())
-            values = materialize(values.select("kind", "value", renew("kind", "value", "surrogate").alias("surrogate")), "pii-values")
-        else:
-            return tweak, exceptions | settle_formats(values, key)
-    raise ValueError("more colliding values than the bound under every tweak")
+    kept = values.join(new.select("kind", "value"), ["kind", "value"], "left_anti")
+    return materialize(kept.select(*VALUE_NAMES).union(new.select(*VALUE_NAMES)), "pii-values")
+
+
+VALUE_NAMES = [f.split()[0] for f in VALUES.split(", ")]
 
 
-def replace_in(docs: DataFrame, key: str = "surrogates", bound: int = 10_000) -> DataFrame:
-    """``docs`` with surrogates in ``text`` and a last column ``n_entities``."""
+def check(docs: DataFrame, key: bytes, most: int = 6) -> DataFrame:
+    """kind, value, surrogate of the values whose surrogate isn't that of the first tweak."""
+    start = values = materialize(values_of(docs, key), "pii-values")
+    for tweak in range(1, most + 1):
+        bad = materialize(collisions(values), "pii-collisions")
+        if bad.isEmpty():
+            break
+        if tweak == most:
+            values = settle(values, bad, key)
+            break
+        again = values.join(bad, ["kind", "value"], "left_semi").select("kind", "value", "format")
+        renewed = _mapped(again, lambda rows, t=tweak: ((k, v, f, canonical(k, surrogate(key, k, v, t))) for k, v, f in rows), VALUES)
+        values = materialize(values.join(bad, ["kind", "value"], "left_anti").select(*VALUE_NAMES).union(renewed), "pii-values")
+    if values is start:
+        return start.limit(0).select("kind", "value", "surrogate")
+    old = start.select("kind", "value", F.col("surrogate").alias("old"))
+    return values.join(old, ["kind", "value"]).where("surrogate != old").select("kind", "value", "surrogate")
+
+
+def replace_in(docs: DataFrame, key: str = "surrogates", bound: int = 10_000, counted: bool = True) -> DataFrame:
+    """``docs`` with surrogates in ``text`` and, if ``counted``, a last column ``n_entities``."""
     secret = key.encode()
-    tweak, exceptions = check(docs, secret, bound)
+    if counted:
+        docs = docs.select(*[f"`{c}`" for c in docs.columns if c.lower() != "n_entities"])
+    exceptions = materialize(check(docs, secret), "pii-exceptions")
     names = docs.columns
     place = names.index("text")
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_entities", T.LongType())])
+    schema = T.StructType([*docs.schema.fields, *([T.StructField("n_entities", T.LongType())] if counted else [])])
+    rows = exceptions.limit(bound + 1).collect()  # at most bound + 1 rows reach the driver
+    sent = {(r.kind, r.value): r.surrogate for r in rows}
+    if len(rows) > bound:
+        sent = {}
+
+        def own(rows):
+            for (text,) in rows:
+                for k, v in {(k, canonical(k, text[a:z])) for a, z, k in find(text or "")}:
+                    yield hashlib.sha256(text.encode()).hexdigest(), k, v
+
+        held = _mapped(docs.select("text"), own, "__sha string, kind string, value string").distinct().join(exceptions, ["kind", "value"])
+        held = held.groupBy("__sha").agg(F.collect_list(F.struct("kind", "value", "surrogate")).alias("__own"))  # no more than a text holds
+        docs = docs.withColumn("__sha", F.sha2(F.col("text").cast("binary"), 256)).join(held, "__sha", "left").select(*[f"`{c}`" for c in names], "__own")
 
     def run(batches):
         for b in batches:
-            rows = [rewrite(t.as_py(), secret, tweak, exceptions) for t in b.column(place)]
-            columns = list(b.columns)
+            extra = b.column(len(names)).to_pylist() if b.num_columns > len(names) else [None] * b.num_rows
+            rows = [rewrite(t.as_py(), secret, {(o["kind"], o["value"]): o["surrogate"] for o in x} if x else sent) for t, x in zip(b.column(place), extra, strict=True)]
+            columns = list(b.columns[: len(names)])
             columns[place] = pa.array([r[0] for r in rows], pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([r[1] for r in rows], pa.int64())], names=[*names, "n_entities"])
+            if counted:
+                columns.append(pa.array([r[1] for r in rows], pa.int64()))
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return docs.mapInArrow(tidy(run), schema)
+    return positional(docs).mapInArrow(tidy(run), schema)

@@ -45,6 +45,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
 
 
+def base_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics and base rules of op8_quality_rules, which SQL can express."""
+    return quality_rules.base_rules(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -63,12 +68,14 @@ QUERIES: dict[str, Query] = {
     "op6_near_duplicates": op6_near_duplicates,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_quality_rules": op8_quality_rules,
+    "base_rules": base_rules,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_bm25_topk": op10_bm25_topk,
 }
 
 #: DuckDB SQL for the queries that SQL can express; the others are tested against brute force.
 ORACLE_SQL: dict[str, str] = {
+    "base_rules": quality_rules.BASE_ORACLE,
     "op10_bm25_topk": bm25.ORACLE,
     "op3_chat_formatting": chat.ORACLE,
     "op4_source_mixing": mixing.ORACLE,

@@ -104,15 +104,16 @@ def mixture(docs: DataFrame, weights: list[int] = (3, 1, 2), share: float = 1.5,
 
 def apply_mixture(docs: DataFrame, weights: list[int] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: str = "mix") -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, with its own columns."""
-    mine = docs.select(*[F.col(c) for c in docs.columns], n_words(F.col("text")).alias("__size"), doc_hash(F.col("doc_id"), seed).alias("__h"))
+    mine = docs.select(*[f"`{c}`" for c in docs.columns], n_words(F.col("text")).alias("__size"), doc_hash(F.col("doc_id"), seed).alias("__h"))
     sizes = materialize(mine.select("doc_id", "source", F.col("__size").alias("size"), F.col("__h").alias("h")), "mix-sizes")
     targets = materialize(source_targets(sizes, list(weights), share, cap), "mix-targets")
-    cuts = thresholds(sizes, targets).withColumnRenamed("source", "__source")
-    times = (F.col("rounds") + (F.col("__h") < F.col("cut")).cast("long")).cast("int")
+    cuts = thresholds(sizes, targets).select(F.col("source").alias("__source"), F.col("rounds").alias("__rounds"), F.col("cut").alias("__cut"))
+    # a document without words lies below any cut; it too is taken no more than ``cap`` times
+    times = F.least(F.col("__rounds") + (F.col("__h") < F.col("__cut")).cast("long"), F.lit(int(cap))).cast("int")
     return (
         mine.join(cuts, F.expr("source <=> __source"))
         .withColumn("__copy", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>"))))
-        .select(*docs.columns)
+        .select(*[f"`{c}`" for c in docs.columns])
     )
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, tidy
+from .common import crc_mod, positional, tidy
 from .labelled import WORD, WordCache, bucket, collect_features, labelled_sample, row_sums, sigmoid
 
 BITS = 16
@@ -123,27 +123,57 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, rows: int = 6000)
     return fit(*collect_features(sample, words_of, structure, rows))
 
 
+def _scorer(machine):
+    """(texts, n_chars) -> scores; ``machine`` is a broadcast of fixed size: 2^16 hashed words x (rank + 1)."""
+    m = machine.value
+    ids = WordCache(lambda w: bucket(w, BITS))
+
+    def run(texts: pa.Array, sizes: pa.Array) -> np.ndarray:
+        rows = []
+        for t in texts.to_pylist():
+            found = {ids[w] for w in set(WORD.findall((t or "").lower()))}
+            rows.append(np.fromiter(found, np.int64, len(found)))
+        offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
+        stats = np.array([structure(t or "", n) for t, n in zip(texts.to_pylist(), sizes.to_pylist(), strict=True)], float).reshape(len(rows), -1)
+        return m.scores(offsets, np.concatenate(rows), stats) if rows else np.zeros(0)
+
+    return run
+
+
+def _slices(batches):
+    return (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS))
+
+
+def _inputs(docs: DataFrame, keep: list[str]) -> DataFrame:
+    return positional(docs.select("text", F.col("n_chars").cast("long"), *[F.col(f"`{c}`") for c in keep]))
+
+
 def score(docs: DataFrame, machine: Machine, keep: list[str], threshold: float = 0.3) -> DataFrame:
     """``keep`` columns, score and predicted for every row of ``docs(text, n_chars)``."""
-    sent = docs.sparkSession.sparkContext.broadcast(machine)  # fixed size: 2^16 hashed words x (rank + 1)
-    schema = docs.select(*keep).schema.add("score", "double").add("predicted", "integer")
+    sent = docs.sparkSession.sparkContext.broadcast(machine)
+    schema = docs.select(*[f"`{c}`" for c in keep]).schema.add("score", "double").add("predicted", "integer")
 
     def run(batches):
-        m = sent.value
-        ids = WordCache(lambda w: bucket(w, BITS))
-        for b in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
-            texts = [t or "" for t in b.column(0).to_pylist()]
-            rows = []
-            for t in texts:
-                found = {ids[w] for w in set(WORD.findall(t.lower()))}
-                rows.append(np.fromiter(found, np.int64, len(found)))
-            offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
-            stats = np.array([structure(t, n) for t, n in zip(texts, b.column(1).to_pylist(), strict=True)], float).reshape(len(texts), -1)
-            s = m.scores(offsets, np.concatenate(rows), stats) if rows else np.zeros(0)
+        of = _scorer(sent)
+        for b in _slices(batches):
+            s = of(b.column(0), b.column(1))
             yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=[*keep, "score", "predicted"])
 
-    columns = [F.col("text").alias("__text"), F.col("n_chars").cast("long").alias("__n_chars"), *[F.col(c) for c in keep]]
-    return docs.select(*columns).mapInArrow(tidy(run), schema)
+    return _inputs(docs, keep).mapInArrow(tidy(run), schema)
+
+
+def keep_good(docs: DataFrame, machine: Machine, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs(text, n_chars)`` whose score reaches ``threshold``, with the columns of ``docs`` alone, whatever their names."""
+    sent = docs.sparkSession.sparkContext.broadcast(machine)
+
+    def run(batches):
+        of = _scorer(sent)
+        for b in _slices(batches):
+            good = pa.array(of(b.column(0), b.column(1)) >= threshold)
+            yield pa.RecordBatch.from_arrays([c.filter(good) for c in b.columns[2:]], names=docs_columns)
+
+    docs_columns = docs.columns
+    return _inputs(docs, docs_columns).mapInArrow(tidy(run), docs.schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, rows: int = 6000) -> DataFrame:

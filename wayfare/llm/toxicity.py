@@ -156,7 +156,7 @@ def label_model(v: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, list[int],
     return q, parent, chance
 
 
-def fit_linear(q: np.ndarray, offsets: np.ndarray, flat: np.ndarray, epochs: int = 150, rate: float = 0.1, l1: float = 2e-4, least: float = 0.001) -> tuple[float, np.ndarray]:
+def fit_linear(q: np.ndarray, offsets: np.ndarray, flat: np.ndarray, epochs: int = 150, rate: float = 0.1, l1: float = 2e-4, least: float = 0.0004) -> tuple[float, np.ndarray]:
     """Proximal Adam on the logistic loss against soft labels; terms of fewer than 3 rows, or of less than the share ``least``, are left out."""
     size = 1 << BITS
     w = np.zeros(size)

@@ -97,8 +97,29 @@ def way_segments(ways: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.join(whole.select("way_id", "seg", "lo"), ["way_id", "seg"]).select("way_id", "seg", (F.col("pos") - F.col("lo")).cast("long").alias("seq"), "node")
 
 
+def split_chain(pts: Column, most_m: float = 65000.0) -> Column:
+    """Points of a chain cut where its length would pass ``most_m`` (W8): an array of arrays that share their ends.
+
+    A stretch between two points that is longer by itself stays whole.
+    """
+    gap = lambda i: geo.distance(F.element_at(pts, i - 1)["lat_e7"], F.element_at(pts, i - 1)["lon_e7"], F.element_at(pts, i)["lat_e7"], F.element_at(pts, i)["lon_e7"])
+
+    def step(s: Column, i: Column) -> Column:
+        d = gap(i)
+        cut = (s["meters"] + d > most_m) & (i - 1 > s["start"])
+        return F.struct(
+            F.when(cut, i - 1).otherwise(s["start"]).alias("start"),
+            (F.when(cut, F.lit(0.0)).otherwise(s["meters"]) + d).alias("meters"),
+            F.when(cut, F.concat(s["cuts"], F.array(i - 1))).otherwise(s["cuts"]).alias("cuts"),
+        )
+
+    start = F.struct(F.lit(1).alias("start"), F.lit(0.0).alias("meters"), F.array(F.lit(1)).alias("cuts"))
+    cuts = F.aggregate(F.sequence(F.lit(2), F.size(pts)), start, step, lambda s: F.concat(s["cuts"], F.array(F.size(pts))))
+    return F.transform(F.sequence(F.lit(1), F.size(cuts) - 1), lambda k: F.slice(pts, F.element_at(cuts, k), F.element_at(cuts, k + 1) - F.element_at(cuts, k) + 1))
+
+
 def graph_edges(ways: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Directed edges of ``ways(way_id, fwd, bwd, speed, name, refs)`` over ``nodes(node, lat_e7, lon_e7)``."""
+    """Directed edges of ``ways(way_id, fwd, bwd, speed, name, refs)`` over ``nodes(node, lat_e7, lon_e7)``."""
     at = F.struct("seq", "node", "lat_e7", "lon_e7")
     chains = way_segments(ways, nodes).join(nodes, "node").groupBy("way_id", "seg").agg(F.array_sort(F.collect_list(at)).alias("pts"))
     d = F.aggregate(
@@ -106,9 +127,10 @@ def graph_edges(ways: DataFrame, nodes: DataFrame) -> DataFrame:
         F.lit(0.0),
         lambda s, i: s + geo.distance(F.element_at("pts", i - 1)["lat_e7"], F.element_at("pts", i - 1)["lon_e7"], F.element_at("pts", i)["lat_e7"], F.element_at("pts", i)["lon_e7"]),
     )
+    chains = chains.select("way_id", "seg", F.posexplode(split_chain(F.col("pts"))).alias("part", "pts"))
     c = chains.withColumn("meters", F.greatest(F.lit(1).cast("long"), F.floor(d + 0.5).cast("long"))).join(ways.drop("refs"), "way_id")
     a, b = F.element_at("pts", 1)["node"], F.element_at("pts", -1)["node"]
-    pair = F.concat_ws(":", F.col("way_id"), F.col("seg"))
+    pair = F.concat_ws(":", F.col("way_id"), F.col("seg"), F.when(F.col("part") > 0, F.col("part")))
     out = c.where(a != b).select(pair.alias("pair_id"), a.alias("a"), b.alias("b"), "meters", "speed", "name", "fwd", "bwd", "pts")
     one = out.where("fwd != 0").select("pair_id", F.lit(0).alias("side"), F.col("a").alias("src"), F.col("b").alias("dst"), "meters", "speed", "name", F.col("fwd").alias("flags"), "pts")
     two = out.where("bwd != 0").select("pair_id", F.lit(1), F.col("b"), F.col("a"), "meters", "speed", "name", F.col("bwd"), F.reverse("pts"))

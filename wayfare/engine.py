@@ -30,7 +30,7 @@ class Engine:
         t = self.tables.read("timetable")
         if self.tables.latest("rt_stops"):
             late = timetable.scheduled_with_realtime(t, self.tables.read("rt_stops")).select("trip", "pos", "arr", "dep")
-            t = t.drop("arr", "dep").join(late, ["trip", "pos"])
+            t = timetable.without_skipped(t.drop("arr", "dep").join(late, ["trip", "pos"]), self.tables.read("rt_stops"))
             t = t.join(self.tables.read("rt_trips").where("cancelled").select("trip"), "trip", "left_anti")
         days = dates.select("date").union(dates.select("previous")).distinct()
         active = timetable.active_services(self.tables.read("services"), self.tables.read("service_exceptions"), days)

@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def first_updates(entities: DataFrame) -> DataFrame:
-    """The first trip update of each trip in arrival order."""
-    by = Window.partitionBy("trip").orderBy("event_id")
-    return entities.withColumn("__n", F.row_number().over(by)).where("__n = 1").drop("__n")
+def first_updates(updates: DataFrame) -> DataFrame:
+    """The rows of each trip's first message by ``msg`` (A15): sources and messages that come later add nothing to a trip."""
+    return updates.withColumn("__m", F.min("msg").over(Window.partitionBy("trip"))).where("msg = __m").drop("__m")
 
 
 def match_stats(entities: DataFrame, trips: DataFrame) -> DataFrame:
@@ -67,33 +66,50 @@ def propagate(deltas: DataFrame, calls: DataFrame) -> DataFrame:
     return j.select("trip", "pos", F.coalesce(F.col("u.arr_delta"), before).alias("arr_delta"), run.alias("dep_delta"))
 
 
+def last_of(rows: DataFrame, order: str) -> DataFrame:
+    """The last row of each trip by ``order``."""
+    by = Window.partitionBy("trip").orderBy(F.desc(order))
+    return rows.withColumn("__n", F.row_number().over(by)).where("__n = 1").drop("__n")
+
+
 def vehicles(entities: DataFrame, timetable: DataFrame) -> DataFrame:
-    """trip, pos, status, passed of the last vehicle of each trip."""
-    by = Window.partitionBy("trip").orderBy(F.desc("event_id"))
-    last = entities.withColumn("__n", F.row_number().over(by)).where("__n = 1")
+    """trip, pos, status, passed and place of the last vehicle of each trip (R5); without a known sequence pos and passed are null."""
     at = timetable.select("trip", "seq", "pos")
-    return last.join(at, ["trip", "seq"]).select("trip", "pos", "status", (F.col("pos") - 1).alias("passed"))
+    place = [c for c in ("lat_e7", "lon_e7") if c in entities.columns]
+    return last_of(entities, "event_id").join(at, ["trip", "seq"], "left").select("trip", "pos", "status", (F.col("pos") - 1).alias("passed"), *place)
+
+
+def resolve(updates: DataFrame, timetable: DataFrame) -> DataFrame:
+    """Adds ``pos`` to ``updates(trip, ord, seq, stop_idx, ...)``, null where an update is of no call."""
+    some = updates.where("seq IS NOT NULL OR stop_idx IS NOT NULL").select("trip", "ord", "seq", "stop_idx")
+    return updates.join(match_by_stop(some, timetable), ["trip", "ord"], "left")
 
 
 def overlay(updates: DataFrame, vehicle: DataFrame, timetable: DataFrame, now: int) -> tuple[DataFrame, DataFrame]:
-    """Overlay of trips (trip, cancelled, passed, veh_pos, status) and of stops (trip, pos, deltas, skipped).
+    """Overlay of trips (trip, cancelled, passed, veh_pos, status, place) and of stops (trip, pos, deltas, skipped).
 
-    ``updates(trip, seq, cancelled, skipped, trip_delay, arr_delay, dep_delay, arr_time, dep_time, base)``. A
-    cancelled trip has no deltas. A stop has passed when its event (departure, else arrival, else schedule and
+    ``updates(trip, msg, ord, seq, stop_idx, cancelled, skipped, trip_delay, arr_delay, dep_delay, arr_time, dep_time,
+    base)`` of all sources: msg numbers messages in the order in which they count, ord the rows inside one, and base is
+    the midnight of the service day. The first message of a trip counts; a cancelled
+    trip has no deltas. A stop has passed when its event (departure, else arrival, else schedule and
     delay) is not after ``now``, or a vehicle stands beyond it.
     """
-    cancelled = updates.groupBy("trip").agg(F.max("cancelled").alias("cancelled"), F.max("trip_delay").alias("trip_delay"))
-    live = updates.join(cancelled.where("cancelled").select("trip"), "trip", "left_anti")
-    d = stu_deltas(live, timetable)
-    spread = propagate(d.join(cancelled.select("trip", "trip_delay"), "trip"), timetable)
-    at = timetable.select("trip", "seq", "pos", "dep")
-    flags = live.join(at, ["trip", "seq"]).groupBy("trip", "pos").agg(F.max("skipped").alias("skipped"), F.max("dep_time").alias("dep_time"), F.max("arr_time").alias("arr_time"), F.max("base").alias("base"), F.max("dep").alias("dep"))
+    cancelled = updates.groupBy("trip").agg(F.max("cancelled").alias("cancelled"))
+    live = first_updates(updates.join(cancelled.where("cancelled").select("trip"), "trip", "left_anti"))
+    placed = resolve(live, timetable)
+    t = timetable.select("trip", "pos", F.col("arr").alias("s_arr"), F.col("dep").alias("s_dep"))
+    delta = lambda p: F.coalesce(f"{p}_delay", F.col(f"{p}_time") - (F.col("base") + F.col(f"s_{p}"))).alias(f"{p}_delta")
+    d = placed.join(t, ["trip", "pos"], "left").select("trip", "pos", delta("arr"), delta("dep"), "trip_delay")
+    spread = propagate(d, timetable)
+    flags = placed.where("pos IS NOT NULL").join(timetable.select("trip", "pos", "dep"), ["trip", "pos"])
+    flags = flags.groupBy("trip", "pos").agg(*[F.max(c).alias(c) for c in ("skipped", "dep_time", "arr_time", "base", "dep")])
     stops = spread.join(flags, ["trip", "pos"], "left").withColumn("skipped", F.coalesce("skipped", F.lit(False)))
     event = F.coalesce("dep_time", "arr_time", F.col("base") + F.col("dep") + F.col("dep_delta"))
     gone = stops.where(F.col("base").isNotNull() & (event > 0) & (event <= now)).groupBy("trip").agg(F.max("pos").alias("by_time"))
-    seen = vehicle.select("trip", F.col("pos").alias("veh_pos"), "status", F.col("passed").alias("by_vehicle"))
+    place = [c for c in ("lat_e7", "lon_e7") if c in vehicle.columns]
+    seen = vehicle.select("trip", F.col("pos").alias("veh_pos"), "status", F.col("passed").alias("by_vehicle"), *place)
     trips = cancelled.select("trip", "cancelled").join(seen, "trip", "full_outer").join(gone, "trip", "left")
-    trips = trips.select("trip", F.coalesce("cancelled", F.lit(False)).alias("cancelled"), F.greatest("by_time", "by_vehicle", F.lit(-1).cast("long")).alias("passed"), "veh_pos", "status")
+    trips = trips.select("trip", F.coalesce("cancelled", F.lit(False)).alias("cancelled"), F.greatest("by_time", "by_vehicle", F.lit(-1).cast("long")).alias("passed"), "veh_pos", "status", *place)
     return trips, stops.select("trip", "pos", "arr_delta", "dep_delta", "skipped")
 
 
@@ -104,11 +120,3 @@ def hold_persistence(fixes: DataFrame, condition, seconds: int) -> DataFrame:
     f = f.withColumn("island", F.sum((~F.col("ok")).cast("long")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
     runs = f.where("ok").groupBy("session_id", "island").agg(F.min("at").alias("since"), F.max("at").alias("until"), F.count(F.lit(1)).alias("fixes"))
     return runs.where(F.col("until") - F.col("since") >= seconds).drop("island")
-
-
-def plausible(fixes: DataFrame, most_m: float = 150.0) -> DataFrame:
-    """Fixes that are accurate, somewhere, and not older than one before."""
-    by = Window.partitionBy("session_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
-    latest = F.max("at").over(by)
-    ok = (F.col("accuracy") <= most_m) & ~((F.col("lat_e7") == 0) & (F.col("lon_e7") == 0))
-    return fixes.where(ok).withColumn("__latest", latest).where("__latest IS NULL OR at >= __latest").drop("__latest")

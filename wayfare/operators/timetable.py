@@ -154,3 +154,15 @@ def scheduled_with_realtime(timetable: DataFrame, overlay: DataFrame) -> DataFra
     t = timetable.join(overlay.select("trip", "pos", "arr_delta", "dep_delta"), ["trip", "pos"], "left")
     late = lambda c, d: F.greatest(F.lit(0).cast("long"), F.col(c) + F.coalesce(F.col(d), F.lit(0).cast("long"))).alias(c)
     return t.select("trip", "pos", "stop_idx", late("arr", "arr_delta"), late("dep", "dep_delta"))
+
+
+#: A time before all days: stops that are skipped can't be boarded or left at.
+NEVER = -(1 << 31)
+
+
+def without_skipped(timetable: DataFrame, stops: DataFrame) -> DataFrame:
+    """``timetable`` whose calls in ``stops(trip, pos, skipped)`` have no times to board or alight at."""
+    j = timetable.join(stops.where("skipped").select("trip", "pos", F.lit(True).alias("__skip")), ["trip", "pos"], "left")
+    for c in ("arr", "dep"):
+        j = j.withColumn(c, F.when(F.col("__skip"), F.lit(NEVER).cast("long")).otherwise(F.col(c)))
+    return j.drop("__skip")

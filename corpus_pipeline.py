@@ -17,7 +17,7 @@ from wayfare.llm.common import crc_mod, materialize, table
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorisation machine predicts to be poor go; it learns from labels outside the held-out fold."""
     machine = quality_classifier.train(docs, table(spark, sf_dir, "labels"), crc_mod(F.col("doc_id"), 5) != 0)
-    return quality_classifier.score(docs, machine, docs.columns).where(F.col("predicted") == 1).select(*docs.columns)
+    return quality_classifier.keep_good(docs, machine)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +27,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with surrogates in the place of personal data."""
-    return pii.replace_in(docs).select(*docs.columns)
+    return pii.replace_in(docs, counted=False)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -58,7 +58,7 @@ def test_cancelled_trips_warn_once_and_ask_again(spark, tmp_path):
 
 
 def test_overlay_versions(spark, tmp_path):
-    t = spark.createDataFrame([(k, p, 10 * (p + 1), 100 * p, 100 * p) for k in (1, 2) for p in range(3)], "trip long, pos long, seq long, arr long, dep long")
+    t = spark.createDataFrame([(k, p, 10 * (p + 1), 100 * p, 100 * p) for k in (1, 2) for p in range(3)], "trip long, pos long, seq long, arr long, dep long").withColumn("stop_idx", F.col("pos") + 50)
     trips = spark.createDataFrame([(1, "a"), (2, "b")], "trip long, trip_id string")
     (tmp_path / "feed").mkdir()
     (tmp_path / "feed" / "1.pb").write_bytes(gtfs_rt.encode(1, [{"trip_id": "a", "stops": [{"seq": 10, "dep_delay": 60}]}, {"trip_id": "b", "cancelled": True}], [{"trip_id": "a", "seq": 20, "status": 1}]))
@@ -69,6 +69,27 @@ def test_overlay_versions(spark, tmp_path):
     assert {r.trip: (r.cancelled, r.passed) for r in snaps.read("rt_trips").collect()} == {1: (False, 0), 2: (True, -1)}
 
 
+def test_overlay_keeps_what_other_files_said(spark, tmp_path):
+    """Updates and vehicles in files of their own, and updates that name stops alone."""
+    t = spark.createDataFrame([(k, p, 10 * (p + 1), 50 + p, 100 * p, 100 * p) for k in (1, 2) for p in range(3)], "trip long, pos long, seq long, stop_idx long, arr long, dep long")
+    trips = spark.createDataFrame([(1, "a"), (2, "b")], "trip long, trip_id string")
+    stops = spark.createDataFrame([(f"s{n}", n) for n in range(50, 53)], "stop_id string, stop_idx long")
+    snaps = Snapshots(spark, str(tmp_path / "tables"))
+    feed = tmp_path / "feed"
+    feed.mkdir()
+
+    def publish():
+        overlay.publish_overlay(overlay.feed(spark, str(feed)), t, trips, snaps, str(tmp_path / "cp"), 0, lambda: 10, {"availableNow": True}, stops).awaitTermination()
+        return {(r.trip, r.pos): r.dep_delta for r in snaps.read("rt_stops").collect()}, {r.trip: r.veh_pos for r in snaps.read("rt_trips").collect()}
+
+    (feed / "updates.pb").write_bytes(gtfs_rt.encode(1, [{"trip_id": "a", "stops": [{"stop_id": "s51", "dep_delay": 60}]}]))
+    assert publish() == ({(1, 0): 0, (1, 1): 60, (1, 2): 60}, {1: None})
+    (feed / "vehicles.pb").write_bytes(gtfs_rt.encode(2, [], [{"trip_id": "b", "lat": 41.5, "lon": 12.5, "seq": 20, "status": 1}]))
+    assert publish() == ({(1, 0): 0, (1, 1): 60, (1, 2): 60}, {1: None, 2: 1})
+    (feed / "updates2.pb").write_bytes(gtfs_rt.encode(3, [{"trip_id": "b", "stops": [{"seq": 10, "dep_delay": 30}]}]))
+    assert publish() == ({(2, 0): 30, (2, 1): 30, (2, 2): 30}, {2: 1})
+
+
 def test_engine_plans_on_published_tables(spark, tmp_path):
     d = "/root/testdata/sf0.001"
     engine = Engine(spark, str(tmp_path))

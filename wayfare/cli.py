@@ -29,7 +29,7 @@ def load_feeds(spark: SparkSession, engine: Engine, c: config.Config) -> None:
     """Publish stops, services, exceptions and timetable of all feeds under dense numbers."""
     from .operators import timetable
 
-    per = {f.name: config.local_path(f.url) for f in c.feeds}
+    per = {f.name: gtfs_zip.Feed(spark, config.local_path(f.url)) for f in c.feeds}
     stops = timetable.merge_feeds({n: gtfs_zip.stops(spark, p) for n, p in per.items()}, "stop_id")
     # numbers come from a hash, not from a global sort; collisions among stops show as duplicate numbers
     stops = stops.withColumn("stop_idx", F.xxhash64("stop_id"))

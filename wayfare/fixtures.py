@@ -38,8 +38,8 @@ TABLES: dict[str, str] = {
     "service_exceptions": """SELECT service, CAST(date AS BIGINT) AS date, kind FROM (VALUES ('4-NOT SPECIFIED', 20260710, 'remove'), ('5-LOW', 20260710, 'add')) v(service, date, kind)""",
     "transfers": """SELECT stop_idx AS from_stop, stop_idx + 1 AS to_stop, 1800 + (stop_idx % 5) * 103 AS ds FROM stops CROSS JOIN dims WHERE stop_idx % 4 <> 3 AND stop_idx + 1 < n_stops
         UNION ALL SELECT stop_idx + 1, stop_idx, 1800 + (stop_idx % 5) * 103 FROM stops CROSS JOIN dims WHERE stop_idx % 4 <> 3 AND stop_idx + 1 < n_stops""",
-    "requests": """SELECT c_custkey AS query_id, c_custkey % n_stops AS source, 21600 + c_custkey * 60 AS dep_sec, (c_custkey * 13 + 11) % n_stops AS target, 30 * (c_custkey % 5) AS egress_sec
-        FROM customer CROSS JOIN dims WHERE c_custkey < 50""",
+    "requests": """SELECT s_suppkey AS query_id, s_suppkey % n_stops AS source, 21600 + (s_suppkey * 60) % 50400 AS dep_sec, (s_suppkey * 13 + 11) % n_stops AS target, 30 * (s_suppkey % 5) AS egress_sec
+        FROM supplier CROSS JOIN dims""",
     "g_nodes": """SELECT o_orderkey AS node, 419000000 + (o_orderkey {div} w) * 30000 AS lat_e7, 125000000 + (o_orderkey % w) * 30000 AS lon_e7
         FROM orders CROSS JOIN dims WHERE o_orderkey < w * w""",
     "g_pairs": """SELECT node AS a, node + 1 AS b, 300 + (node % 7) * 10 AS meters, 30 + 10 * (node % 4) AS speed, node % 11 AS m FROM g_nodes CROSS JOIN dims WHERE node % w < w - 1

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,45 +39,6 @@ def access(reached: DataFrame, anchors: DataFrame) -> DataFrame:
     return hits.select("origin", "stop", F.floor((F.col("ds") + 5) / 10).cast("long").alias("sec"))
 
 
-def road_route(edges: DataFrame, requests: DataFrame, most_edges: int = 20_000_000) -> DataFrame:
-    """request, ds, hops of the cheapest path for ``requests(request, src, dst)`` over ``edges(src, dst, cost)``.
-
-    A street graph below ``most_edges`` edges goes to every task, which searches its own requests; a larger one
-    stays distributed and is searched by frontier relaxation for all requests at once.
-    """
-    if edges.count() > most_edges:
-        seeds = requests.select(F.col("request").alias("origin"), F.col("src").alias("node"), F.lit(0).cast("long").alias("ds"))
-        found = near_search(edges, seeds, 2**62)
-        return requests.join(found, (F.col("request") == F.col("origin")) & (F.col("dst") == F.col("node"))).select("request", "ds", F.lit(None).cast("long").alias("hops"))
-    t = edges.select("src", "dst", "cost").toArrow()
-    src, dst, cost = (t[c].to_numpy() for c in ("src", "dst", "cost"))
-    order = np.lexsort((dst, src))
-    src, dst, cost = src[order], dst[order], cost[order]
-    sent = requests.sparkSession.sparkContext.broadcast((src, dst, cost))
-
-    def run(frames):
-        s, d, c = sent.value
-        for pdf in frames:
-            out = []
-            for q, a, b in zip(pdf.request, pdf.src, pdf.dst, strict=True):
-                best, heap = {a: 0}, [(0, 0, a)]
-                while heap:
-                    ds, hops, u = heapq.heappop(heap)
-                    if u == b:
-                        out.append((q, ds, hops))
-                        break
-                    if ds > best[u]:
-                        continue
-                    lo, hi = np.searchsorted(s, [u, u + 1])
-                    for v, w in zip(d[lo:hi].tolist(), c[lo:hi].tolist(), strict=True):
-                        if ds + w < best.get(v, 1 << 62):
-                            best[v] = ds + w
-                            heapq.heappush(heap, (ds + w, hops + 1, v))
-            yield pd.DataFrame(out, columns=["request", "ds", "hops"])
-
-    return requests.select("request", "src", "dst").mapInPandas(run, "request long, ds long, hops long")
-
-
 def layers(timetable: DataFrame, active: DataFrame, dates: DataFrame) -> DataFrame:
     """Stop times of the running trips of each date and of the night before, which come 24 h earlier.
 
@@ -116,6 +73,15 @@ def asof_board(ready: DataFrame, board: DataFrame) -> DataFrame:
     return j.where("c IS NOT NULL").select(*ready.columns, "layer", "pattern", "pos", F.col("c.trip_rank").alias("trip_rank"), F.col("c.dep").alias("board_dep"))
 
 
+def scan_order(boarded: DataFrame) -> DataFrame:
+    """Boardings that a scan along the pattern takes (G13): those that catch an earlier trip than all boardings before them.
+
+    Any other trip is boarded already, or behind one that is, wherever it goes.
+    """
+    earlier = Window.partitionBy("query_id", "date", "layer", "pattern").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    return boarded.withColumn("__least", F.min("trip_rank").over(earlier)).where("__least IS NULL OR trip_rank < __least").drop("__least")
+
+
 def ride_expand(boarded: DataFrame, ride: DataFrame) -> DataFrame:
     """A row for each later stop of the boarded trip."""
     later = F.filter("calls", lambda c: (c["pos"] > F.col("board_pos")) & (c["arr"] >= 0))
@@ -148,7 +114,8 @@ def raptor(sources: DataFrame, targets: DataFrame, board: DataFrame, ride: DataF
     limit = sources.select("query_id").distinct().withColumn("limit", null)
     for k in range(1, max_transfers + 2):
         ready = front.select("query_id", "date", "stop", F.col("arr").alias("at"), (F.col("arr") + F.when(F.col("ride"), slack).otherwise(0)).alias("ready"), "legs")
-        on = asof_board(ready, board)
+        # written before it meets the trips: a small table is then sent to them, and they stay where they are
+        on = materialize(scan_order(asof_board(ready, board)), "raptor-boarded")
         off = ride_expand(on, ride)
         leg = _leg("ride", F.col("stop"), F.col("alight"), F.col("trip"), F.col("board_pos"), F.col("alight_pos"), F.col("board_dep"), F.col("alight_arr"))
         order = F.struct(F.col("alight_arr").alias("arr"), "layer", "trip_rank", "board_pos", "pattern", F.concat("legs", leg).alias("legs"))
@@ -184,15 +151,71 @@ def pareto(journeys: DataFrame) -> DataFrame:
     return journeys.withColumn("before", before).where("rides > 0 AND (before IS NULL OR arr < before)").drop("before")
 
 
-def arrive_by(requests: DataFrame, plan, window: int = 14_400, step: int = 60) -> DataFrame:
-    """query_id, dep_sec, arr: the latest departure on a raster of ``step`` seconds that meets a deadline.
+def alights(ride: DataFrame) -> DataFrame:
+    """date, stop, layer, pattern, pos, trips: arrivals of a pattern at a stop, in trip rank order; none at a trip's first stop."""
+    t = ride.select("date", "layer", "pattern", "trip_rank", F.explode(F.slice("calls", F.lit(2), F.size("calls") - 1)).alias("c")).where("c.arr >= 0")
+    return t.groupBy("date", F.col("c.stop_idx").alias("stop"), "layer", "pattern", F.col("c.pos").alias("pos")).agg(F.array_sort(F.collect_list(F.struct("trip_rank", F.col("c.arr").alias("arr")))).alias("trips"))
+
 
-    ``requests(query_id, date, stop, deadline, ...)``; ``plan`` answers a batch of (query_id, date, stop, arr).
-    All candidate departures are queries of one batch; no probe waits for another.
+def latest_departures(ends: DataFrame, alight: DataFrame, ride: DataFrame, transfers: DataFrame, max_transfers: int = 4, slack: int = 90) -> DataFrame:
+    """query_id, stop, dep: the latest boarding at each stop that still meets ``ends(query_id, date, stop, by)``.
+
+    Rounds backwards from the deadlines, for all queries at once. A stop may be reached by ride ``slack`` before the
+    boarding that follows there, or a footpath before one at its end. The last trip by rank that is in time is taken.
     """
-    n = window // step
-    tries = requests.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n)))).withColumn("dep_sec", F.col("deadline") - F.col("k") * step)
-    tries = tries.where("dep_sec >= 0").withColumn("probe", F.col("query_id") * (n + 1) + F.col("k"))
-    got = plan(tries).groupBy(F.col("query_id").alias("probe")).agg(F.min("arr").alias("arr"))
-    ok = tries.join(got, "probe").where("arr <= deadline")
-    return ok.groupBy("query_id").agg(F.max(F.struct("dep_sec", (-F.col("arr")).alias("early"))).alias("m")).select("query_id", F.col("m.dep_sec").alias("dep_sec"), (-F.col("m.early")).alias("arr"))
+    sec = F.expr("ds div 10 + (ds % 10) div 5")
+    transfers = materialize(transfers.select(F.col("from_stop").alias("at"), F.col("to_stop").alias("stop"), sec.alias("sec")), "back-foot")
+
+    def before(rows: DataFrame, wait: int) -> DataFrame:
+        walked = rows.join(transfers, "stop").select("query_id", "date", F.col("at").alias("stop"), (F.col("by") - F.col("sec")).alias("by"))
+        here = rows.select("query_id", "date", "stop", (F.col("by") - wait).alias("by"))
+        return here.unionByName(walked).groupBy("query_id", "date", "stop").agg(F.max("by").alias("by"))
+
+    front = materialize(before(ends.select("query_id", "date", "stop", "by"), 0), "back")
+    best: DataFrame | None = None
+    for _ in range(max_transfers + 1):
+        off = front.join(alight, ["date", "stop"]).withColumn("c", F.try_element_at(F.filter("trips", lambda t: t["arr"] <= F.col("by")), F.lit(-1))).where("c IS NOT NULL")
+        # along a pattern, a later alighting is worth its row only with a later trip
+        later = Window.partitionBy("query_id", "date", "layer", "pattern").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
+        off = off.select("query_id", "date", "layer", "pattern", F.col("pos").alias("off_pos"), "pos", F.col("c.trip_rank").alias("trip_rank")).withColumn("m", F.max("trip_rank").over(later)).where("m IS NULL OR trip_rank > m")
+        off = materialize(off.drop("m", "pos"), "back-off")
+        calls = off.join(ride, ["date", "layer", "pattern", "trip_rank"]).select("query_id", "date", "off_pos", F.explode("calls").alias("c")).where("c.pos < off_pos AND c.dep >= 0")
+        new = calls.groupBy("query_id", "date", F.col("c.stop_idx").alias("stop")).agg(F.max("c.dep").alias("dep"))
+        if best is not None:
+            new = new.join(best.withColumnRenamed("dep", "known"), ["query_id", "stop"], "left").where("known IS NULL OR dep > known").drop("known")
+        new = materialize(new, "back-new")
+        if new.isEmpty():
+            break
+        own = new.select("query_id", "stop", "dep")
+        best = materialize((own if best is None else best.unionByName(own)).groupBy("query_id", "stop").agg(F.max("dep").alias("dep")), "back-best")
+        front = materialize(before(new.withColumnRenamed("dep", "by"), slack), "back")
+    return ends.limit(0).select("query_id", "stop", F.col("by").alias("dep")) if best is None else best
+
+
+#: How many steps back a departure is looked for at a time, where the latest one that could do misses its deadline.
+STEPS_BACK = (0, 16, 80, 400, 1600)
+
+
+def arrive_by(requests: DataFrame, latest: DataFrame, plan, step: int = 60) -> DataFrame:
+    """query_id, dep_sec, arr: the latest departure, a whole number of ``step`` seconds before the deadline, that meets it.
+
+    ``requests(query_id, date, stop, deadline, ...)``, ``latest(query_id, stop, dep)`` from :func:`latest_departures`,
+    which no departure is later than; ``plan`` answers a batch of requests with dep_sec. A plan keeps one label for a
+    stop and trips may overtake, so a departure that could do may miss its deadline: such requests try all steps back
+    from there, some at a time, down to midnight.
+    """
+    back = F.greatest(F.ceil((F.col("deadline") - F.col("dep")) / step).cast("long"), F.lit(0))
+    todo = materialize(requests.join(latest, ["query_id", "stop"]).withColumn("last", F.col("deadline") - back * step).drop("dep"), "arrive-by")
+    found: DataFrame | None = None
+    wide = STEPS_BACK[-1] + 1
+    for n, most in enumerate(STEPS_BACK):
+        tries = todo.withColumn("k", F.explode(F.sequence(F.lit(STEPS_BACK[n - 1] + 1 if n else 0), F.lit(most)))).withColumn("dep_sec", F.col("last") - F.col("k") * step).where("dep_sec >= 0")
+        tries = materialize(tries.withColumn("asked", F.col("query_id")).withColumn("query_id", F.col("asked") * wide + F.col("k")), "arrive-by")
+        got = plan(tries).groupBy("query_id").agg(F.min("arr").alias("arr"))
+        hits = tries.join(got, "query_id").where("arr <= deadline").groupBy("asked").agg(F.max(F.struct("dep_sec", "arr")).alias("m"))
+        hits = materialize(hits.select(F.col("asked").alias("query_id"), "m.*"), "arrive-by")
+        found = hits if found is None else found.unionByName(hits)
+        todo = materialize(todo.join(hits.select("query_id"), "query_id", "left_anti").where(F.col("last") >= (most + 1) * step), "arrive-by")
+        if todo.isEmpty():
+            break
+    return found

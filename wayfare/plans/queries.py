@@ -257,7 +257,7 @@ def _day(spark: SparkSession, d: str) -> DataFrame:
     return routing.layers(t, _active(spark, d), dates)
 
 
-_DAY = f"""{_ACTIVE}, day AS (SELECT 1 AS layer, pattern, trip_rank, trip, pos, stop_idx, arr, dep FROM timetable JOIN act ON act.service = timetable.service AND act.date = {DATE}
+_DAY = f"""{_ACTIVE}, day AS MATERIALIZED (SELECT 1 AS layer, pattern, trip_rank, trip, pos, stop_idx, arr, dep FROM timetable JOIN act ON act.service = timetable.service AND act.date = {DATE}
   UNION ALL SELECT 0, pattern, trip_rank, trip, pos, stop_idx, arr - 86400, dep - 86400 FROM timetable JOIN act ON act.service = timetable.service AND act.date = {PREVIOUS})"""
 _NET = ("timetable", "services", "service_exceptions", "pattern_stops", "requests", "transfers")
 
@@ -273,7 +273,7 @@ def _boarded(spark: SparkSession, d: str, day: DataFrame) -> DataFrame:
     return routing.asof_board(ready, routing.boards(routing.rides(day)))
 
 
-@query(f"""+ {_DAY}, b AS (SELECT query_id, layer, d.pattern, d.pos, min(trip_rank) AS trip_rank FROM requests r JOIN day d ON d.stop_idx = r.source AND d.pos < 7 AND d.dep >= 0 AND d.dep >= r.dep_sec GROUP BY ALL)
+@query(f"""+ {_DAY}, b AS MATERIALIZED (SELECT query_id, layer, d.pattern, d.pos, min(trip_rank) AS trip_rank FROM requests r JOIN day d ON d.stop_idx = r.source AND d.pos < 7 AND d.dep >= 0 AND d.dep >= r.dep_sec GROUP BY ALL)
 SELECT query_id, x.trip, b.pos AS board_pos, x.pos AS alight_pos, x.stop_idx AS alight, x.arr AS alight_arr FROM b JOIN day x ON x.layer = b.layer AND x.pattern = b.pattern AND x.trip_rank = b.trip_rank AND x.pos > b.pos AND x.arr >= 0""", *_NET)
 def ride_expand(spark: SparkSession, d: str) -> DataFrame:
     day = _day(spark, d)
@@ -336,26 +336,31 @@ def plan_from_stops(spark: SparkSession, d: str) -> DataFrame:
     return routing.raptor(sources, targets, board, ride, x, 2).select("query_id", "rides", "arr")
 
 
-_ARRIVE = _rounds(3).replace("SELECT query_id, source AS stop, dep_sec AS arr, FALSE AS ride FROM requests", "SELECT query_id, source AS stop, dep_sec AS arr, FALSE AS ride FROM probes").replace("JOIN requests r ON r.query_id = l.query_id", "JOIN probes r ON r.query_id = l.query_id")
+def _back(k: int) -> str:
+    """SQL of k rounds backwards: f holds the latest arrivals by ride, p the latest boardings."""
+    walk = "t.ds // 10 + (t.ds % 10) // 5"
+    out = [f"ze0 AS (SELECT query_id, target AS stop, dep_sec + 7200 - egress_sec AS dep FROM requests)", f"zf0 AS (SELECT query_id, stop, max(arr) AS arr FROM (SELECT query_id, stop, dep AS arr FROM ze0 UNION ALL SELECT query_id, t.from_stop, e.dep - ({walk}) FROM ze0 e JOIN transfers t ON t.to_stop = e.stop) GROUP BY ALL)"]
+    for i in range(1, k + 1):
+        out.append(f"""zo{i} AS MATERIALIZED (SELECT f.query_id, d.layer, d.pattern, d.pos, max(d.trip_rank) AS trip_rank FROM zf{i - 1} f JOIN day d ON d.stop_idx = f.stop AND d.pos > 0 AND d.arr >= 0 AND d.arr <= f.arr GROUP BY ALL)""")
+        out.append(f"""ze{i} AS MATERIALIZED (SELECT o.query_id, x.stop_idx AS stop, max(x.dep) AS dep FROM zo{i} o JOIN day x ON x.layer = o.layer AND x.pattern = o.pattern AND x.trip_rank = o.trip_rank AND x.pos < o.pos AND x.dep >= 0 GROUP BY ALL)""")
+        out.append(f"""zf{i} AS (SELECT query_id, stop, max(arr) AS arr FROM (SELECT query_id, stop, dep - 90 AS arr FROM ze{i} UNION ALL SELECT e.query_id, t.from_stop, e.dep - ({walk}) FROM ze{i} e JOIN transfers t ON t.to_stop = e.stop) GROUP BY ALL)""")
+    every = " UNION ALL ".join(f"SELECT * FROM ze{i}" for i in range(1, k + 1))
+    return ",\n".join([*out, f"latest AS (SELECT query_id, stop, max(dep) AS dep FROM ({every}) GROUP BY ALL)"])
 
 
-@query(f"""+ {_DAY}, probes AS (SELECT query_id * 61 + k AS query_id, query_id AS q, source, target, egress_sec, dep_sec + 7200 - k * 120 AS dep_sec, dep_sec + 7200 AS deadline FROM requests CROSS JOIN (SELECT unnest(range(61)) AS k) WHERE query_id < 10 AND dep_sec + 7200 - k * 120 >= 0),
-{_ARRIVE}, ok AS (SELECT p.q AS query_id, p.dep_sec, min(h.arr) AS arr FROM hits h JOIN probes p ON p.query_id = h.query_id WHERE h.arr <= p.deadline GROUP BY ALL)
-SELECT query_id, max(dep_sec) AS dep_sec, arg_max(arr, dep_sec) AS arr FROM ok GROUP BY query_id""", *_NET)
-def arrive_by(spark: SparkSession, d: str) -> DataFrame:
-    (r,) = fx(spark, d, "requests")
-    r = r.where("query_id < 10").withColumn("deadline", F.col("dep_sec") + 7200).drop("dep_sec")
-    plan = lambda tries: _raptor(spark, d, 2, tries.select(F.col("probe").alias("query_id"), "source", "target", "dep_sec", "egress_sec"))
-    return routing.arrive_by(r, plan, 7200, 120)
+_PROBES = "probes AS MATERIALIZED (SELECT r.query_id * 17 + k AS query_id, r.query_id AS asked, source, target, egress_sec, dep_sec + 7200 AS deadline, dep_sec + 7200 - greatest(0, CAST(ceil((dep_sec + 7200 - l.dep) / 60) AS BIGINT)) * 60 - 60 * k AS dep_sec FROM requests r JOIN latest l ON l.query_id = r.query_id AND l.stop = r.source CROSS JOIN (SELECT unnest(range(17)) AS k))"
+_FORWARD = _rounds(5).replace("SELECT query_id, source AS stop, dep_sec AS arr, FALSE AS ride FROM requests", "SELECT query_id, source AS stop, dep_sec AS arr, FALSE AS ride FROM probes").replace("JOIN requests r ON r.query_id = l.query_id", "JOIN probes r ON r.query_id = l.query_id")
 
 
-@query()
-def arrive_by_all(spark: SparkSession, d: str) -> DataFrame:
-    """All requests with the operator's own window, step and transfers, which SQL is too slow for."""
-    (r,) = fx(spark, d, "requests")
-    r = r.withColumn("deadline", F.col("dep_sec") + 7200).drop("dep_sec")
-    plan = lambda tries: _raptor(spark, d, requests=tries.select(F.col("probe").alias("query_id"), "source", "target", "dep_sec", "egress_sec"))
-    return routing.arrive_by(r, plan)
+@query(f"""+ {_DAY}, {_back(5)}, {_PROBES}, {_FORWARD}, tried AS (SELECT p.asked, p.dep_sec, p.deadline, min(h.arr) AS arr FROM probes p JOIN hits h ON h.query_id = p.query_id GROUP BY ALL)
+SELECT asked AS query_id, max(dep_sec) AS dep_sec, arg_max(arr, dep_sec) AS arr FROM tried WHERE arr <= deadline AND dep_sec >= 0 GROUP BY asked""", *_NET)
+def arrive_by(spark: SparkSession, d: str) -> DataFrame:
+    r, x = fx(spark, d, "requests", "transfers")
+    board, ride = _departures(spark, d)
+    r = r.select("query_id", F.lit(DATE).cast("long").alias("date"), F.col("source").alias("stop"), "source", "target", "egress_sec", (F.col("dep_sec") + 7200).alias("deadline"))
+    ends = r.select("query_id", "date", F.col("target").alias("stop"), (F.col("deadline") - F.col("egress_sec")).alias("by"))
+    latest = routing.latest_departures(ends, materialize(routing.alights(ride), "alights"), ride, x)
+    return routing.arrive_by(r, latest, lambda tries: _raptor(spark, d, requests=tries))
 
 
 _COST = f"greatest(1, (meters * {street.speed_factor(4.8)}) >> 16)"
@@ -383,51 +388,27 @@ def _spread(seeds: str, bound: int) -> str:
       LEFT JOIN recurring.s o ON o.origin = n.origin AND o.node = n.node WHERE o.ds IS NULL OR n.ds < o.ds)"""
 
 
-_SEEDS = "SELECT node AS origin, node, CAST(0 AS BIGINT) AS ds FROM g_nodes WHERE node % 7 = 0"
+_SEEDS = "SELECT s_suppkey AS origin, s_suppkey * 37 % (w * w) AS node, CAST(0 AS BIGINT) AS ds FROM supplier CROSS JOIN dims"
 
 
-@query(f"+ {_spread(_SEEDS, 9000)} SELECT origin, node, ds FROM s", "g_edges", "g_nodes", recursive=True)
+@query(f"+ {_spread(_SEEDS, 9000)} SELECT origin, node, ds FROM s", "g_edges", "dims", recursive=True)
 def near_search(spark: SparkSession, d: str) -> DataFrame:
-    return _near(spark, d, 7, 9000)
-
-
-def _near(spark: SparkSession, d: str, every: int, bound: int) -> DataFrame:
-    (n,) = fx(spark, d, "g_nodes")
-    return routing.near_search(_foot_edges(spark, d), n.where(F.col("node") % every == 0).select(F.col("node").alias("origin"), "node", F.lit(0).cast("long").alias("ds")), bound)
+    return _near(spark, d, 9000)
 
 
-_RADIUS = (400 * street.speed_factor(4.8)) >> 16
+def _near(spark: SparkSession, d: str, bound: int) -> DataFrame:
+    (dims,) = fx(spark, d, "dims")
+    k = F.col("s_suppkey")
+    s = spark.read.parquet(f"{d}/supplier.parquet").crossJoin(F.broadcast(dims))  # dims has one row
+    return routing.near_search(_foot_edges(spark, d), s.select(k.alias("origin"), (k * 37 % (F.col("w") * F.col("w"))).alias("node"), F.lit(0).cast("long").alias("ds")), bound)
 
 
-@query(f"+ {_spread(_SEEDS, _RADIUS * 3)} SELECT origin AS from_stop, node AS to_stop, ds + 50 AS ds FROM s WHERE node % 7 = 0 AND origin <> node", "g_edges", "g_nodes", recursive=True)
-def transfers(spark: SparkSession, d: str) -> DataFrame:
-    (n,) = fx(spark, d, "g_nodes")
-    anchors = n.where("node % 7 = 0").select("node", F.col("node").alias("stop"), F.lit(50).cast("long").alias("extra"))
-    return routing.footpaths(_near(spark, d, 7, _RADIUS * 3), anchors)
-
-
-@query(f"+ {_spread(_SEEDS, 7200)} SELECT origin, node AS stop, (ds + node % 3 * 11 + 5) // 10 AS sec FROM s WHERE node % 5 = 0", "g_edges", "g_nodes", recursive=True)
+@query(f"+ {_spread(_SEEDS, 7200)} SELECT origin, stop_idx AS stop, min(ds + stop_idx % 3 * 11 + 5) // 10 AS sec FROM s CROSS JOIN dims JOIN stops ON node = stop_idx * 5 % (w * w) GROUP BY ALL", "g_edges", "stops", "dims", recursive=True)
 def access_stops(spark: SparkSession, d: str) -> DataFrame:
-    (n,) = fx(spark, d, "g_nodes")
-    anchors = n.where("node % 5 = 0").select("node", F.col("node").alias("stop"), (F.col("node") % 3 * 11).alias("extra"))
-    return routing.access(_near(spark, d, 7, 7200), anchors)
-
-
-@query(f"+ {_spread('SELECT node AS origin, node, CAST(0 AS BIGINT) AS ds FROM g_nodes WHERE node < 10', 1 << 40)} SELECT origin AS request, ds FROM s JOIN dims ON s.node = (s.origin * 131 + 77) % (w * w)", "g_edges", "g_nodes", "dims", recursive=True)
-def road_route(spark: SparkSession, d: str) -> DataFrame:
-    n, dims = fx(spark, d, "g_nodes", "dims")
-    w = dims.first().w
-    r = n.where("node < 10").select(F.col("node").alias("request"), F.col("node").alias("src"), ((F.col("node") * 131 + 77) % (w * w)).alias("dst"))
-    return routing.road_route(_foot_edges(spark, d), r).select("request", "ds")
-
-
-@query()
-def road_route_all(spark: SparkSession, d: str) -> DataFrame:
-    """One route from each node, which SQL is too slow for."""
-    n, dims = fx(spark, d, "g_nodes", "dims")
-    w = dims.first().w
-    r = n.select(F.col("node").alias("request"), F.col("node").alias("src"), ((F.col("node") * 131 + 77) % (w * w)).alias("dst"))
-    return routing.road_route(_foot_edges(spark, d), r).select("request", "ds")
+    s, dims = fx(spark, d, "stops", "dims")
+    i = F.col("stop_idx")
+    anchors = s.crossJoin(F.broadcast(dims)).select((i * 5 % (F.col("w") * F.col("w"))).alias("node"), i.alias("stop"), (i % 3 * 11).alias("extra"))
+    return routing.access(_near(spark, d, 7200), anchors)
 
 
 # --- street --------------------------------------------------------------------------------------------------
@@ -616,16 +597,6 @@ def rt_vehicles(spark: SparkSession, d: str) -> DataFrame:
     return realtime.vehicles(e.where("kind = 'view'"), t)
 
 
-@query()
-def rt_overlay(spark: SparkSession, d: str) -> DataFrame:
-    e, t = fx(spark, d, "rt_entities", "timetable")
-    no, delay = F.lit(False), (F.col("trip") % 90).alias("trip_delay")
-    flags = e.where("kind IN ('error', 'signup')").select("trip", "seq", (F.col("kind") == "error").alias("cancelled"), (F.col("kind") == "signup").alias("skipped"), delay)
-    ups = _updates(spark, d).select("*", no.alias("cancelled"), no.alias("skipped"), delay).unionByName(flags, allowMissingColumns=True)
-    trips, _ = realtime.overlay(ups, realtime.vehicles(e.where("kind = 'view'"), t), t, 1_783_641_600 + 43_200)
-    return trips
-
-
 @query("""+ f AS (SELECT *, accuracy <= 30 AS ok FROM gps_fixes), g AS (SELECT *, sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY session_id ORDER BY "at", event_id) AS island FROM f)
 SELECT session_id, min("at") AS since, max("at") AS until, count(*) AS fixes FROM g WHERE ok GROUP BY session_id, island HAVING max("at") - min("at") >= 20""", "gps_fixes")
 def hold_persistence(spark: SparkSession, d: str) -> DataFrame:
@@ -633,12 +604,6 @@ def hold_persistence(spark: SparkSession, d: str) -> DataFrame:
     return realtime.hold_persistence(f, F.col("accuracy") <= 30, 20)
 
 
-@query("""+ f AS (SELECT * FROM gps_fixes WHERE accuracy <= 150) SELECT event_id, session_id, "at" FROM (SELECT *, max("at") OVER (PARTITION BY session_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l FROM f) WHERE l IS NULL OR "at" >= l""", "gps_fixes")
-def fix_plausibility(spark: SparkSession, d: str) -> DataFrame:
-    (f,) = fx(spark, d, "gps_fixes")
-    return realtime.plausible(f).select("event_id", "session_id", "at")
-
-
 # --- itineraries ---------------------------------------------------------------------------------------------
 
 _ITS = "its AS (SELECT o_orderkey AS itinerary, o_custkey % 100 AS query_id, 't' || CAST(o_orderkey % 7 AS VARCHAR) AS sig, 30000 + o_orderkey * 17 % 900 AS arrive, o_orderkey % 4 AS transfers, o_orderkey * 31 % 4000 AS duration, ['walk', 'bike_walk', 'walk_bike', 'bike'][o_orderkey % 4 + 1] AS variant FROM orders)"

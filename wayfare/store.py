@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; one of this machine only where none is set (tests)."""
+    """The folder in spark.checkpoint.dir, which all executors share; one of this machine only in local mode without it (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_wayfare_store", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = spark._wayfare_store = f"file://{tempfile.mkdtemp(prefix='wayfare-')}"
     return at.rstrip("/")
 

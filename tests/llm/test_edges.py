@@ -96,3 +96,23 @@ def test_decoded_is_the_text(spark):
     got = {r.doc_id: r for r in bpe.digests(make(spark)).collect()}
     text = {r[0]: r[1] or "" for r in edge_docs()}
     assert all(got[i].decoded_sha256 == hashlib.sha256(text[i].encode()).hexdigest() for i in text)
+
+
+def test_columns_of_any_name_pass(spark):
+    names = ("score", "predicted", "n_entities", "rounds", "cut", "size", "a.b", "h")
+    d = make(spark).select("doc_id", "text", "lang", "source", "n_chars", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    machine = quality_classifier.train(d, labels(spark), F.lit(True))
+    assert quality_classifier.keep_good(d, machine).columns == d.columns
+    assert quality_classifier.keep_good(d, machine, 0.0).count() == len(edge_docs())
+    assert set(pii.replace_in(d).columns) == set(d.columns) and pii.replace_in(d, counted=False).columns == d.columns
+    out = mixing.apply_mixture(d)
+    assert out.columns == d.columns and out.count() >= 0
+    for run in RUNS.values():
+        assert run(spark, d).count() == len(edge_docs())
+
+
+def test_no_document_is_mixed_more_often_than_the_cap(spark):
+    rows = [(i, "one two three" if i % 2 else "", "en", f"s{i % 3}", 1, 0.0, 0) for i in range(60)]
+    for share in (0.5, 1.5, 2.0, 5.0):
+        counts = mixing.apply_mixture(make(spark, rows), share=share).groupBy("doc_id").count().collect()
+        assert all(r["count"] <= 2 for r in counts)

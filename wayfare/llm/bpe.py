@@ -32,11 +32,11 @@ import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import give_back, materialize, tidy
+from .common import give_back, materialize, positional, tidy
 
 #: Bits of a rank: a vocabulary has fewer than 2^20 pieces. Buckets of the hash table of pairs.
 RANK_BITS, DEALT = 20, 1 << 16
@@ -45,7 +45,7 @@ SPREADS = (611953, 1299709, 15485863, 32452843, 49979687)
 #: The low bits of a state's numbers hold a piece's rank; from NO_PAIR on, the piece makes no pair with the next.
 FIRST, NO_PAIR = (1 << RANK_BITS) - 1, 1 << (2 * RANK_BITS)
 #: Bytes of text that a slice gathers before its distinct pretokens are folded; longer documents are slices of their own.
-SLICE = 3_000_000
+SLICE = 1_500_000
 #: Bytes of a pretoken that its four numbers hold.
 SHORT = 32
 
@@ -110,39 +110,45 @@ def placed(keys: np.ndarray, ranks: np.ndarray) -> tuple[int, np.ndarray, np.nda
 
 
 @functools.lru_cache(maxsize=4)
-def _literals(pieces: tuple[bytes, ...]) -> tuple[int, int, str, str, str]:
+def _literals(pieces: tuple[bytes, ...]) -> tuple[int, int, str, str]:
     spread, shift, entries = placed(*merges(list(pieces)))
     single = {p: r for r, p in enumerate(pieces) if len(p) == 1}
-    table = json.dumps({"shift": shift.tolist(), "entries": entries.tolist()}, separators=(",", ":"))
-    return spread, len(entries), table, json.dumps([single[bytes([b])] for b in range(256)]), json.dumps([p.decode("latin-1") for p in pieces])
+    table = json.dumps({"shift": shift.tolist(), "entries": entries.tolist(), "bytes": [single[bytes([b])] for b in range(256)]}, separators=(",", ":"))
+    return spread, len(entries), table, json.dumps([p.decode("latin-1") for p in pieces])
 
 
 class RankMap:
-    """The rank map as literal arrays, and its lookups as column expressions."""
+    """The rank map as literal arrays, and its lookups as column expressions.
 
-    def __init__(self, pieces: list[bytes]):
+    The table stands in a scalar subquery of one row: a plan holds it once, not once for each copy and printed form of
+    the deep expression that uses it. Expressions over rows of many words take it from a column, ``with_table``.
+    """
+
+    def __init__(self, spark: SparkSession, pieces: list[bytes]):
         if len(pieces) >= FIRST:
             raise ValueError("ranks have 20 bits")
         self.edge = len(pieces)  # stands before and behind a word; no pair has it
-        self.spread, self.size, table, single, own = _literals(tuple(pieces))
-        # constant folding turns the parsed text into array literals
-        read = F.from_json(F.lit(table), "shift array<bigint>, entries array<bigint>")
-        self.shift, self.entries = read["shift"], read["entries"]
-        self.bytes = F.from_json(F.lit(single), "array<bigint>")
+        self.spread, self.size, table, own = _literals(tuple(pieces))
+        one = spark.range(1)
+        self.table = one.select(F.from_json(F.lit(table), "shift array<bigint>, entries array<bigint>, bytes array<bigint>").alias("table")).scalar()
+        # constant folding turns the parsed text into an array literal
         self.pieces = F.from_json(F.lit(own), "array<string>")
 
+    def with_table(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("__table", self.table)
+
     def pair(self, a: Column, b: Column) -> Column:
         """Key of a pair and its first rank in one number."""
         return F.shiftleft(a * _long(self.edge + 1) + b, RANK_BITS) + a
 
-    def look(self, pairs: Column) -> Column:
+    def look(self, table: Column, pairs: Column) -> Column:
         """For each pair its rank x 2^RANK_BITS + its first rank; of pairs without a rank the number is NO_PAIR or more."""
 
         def one(x: Column) -> Column:
             key = F.shiftright(x, RANK_BITS)
-            at = (F.shiftright(key, 16) * _long(self.spread) + F.get(self.shift, key.bitwiseAND(_long(DEALT - 1)).cast("int"))).bitwiseAND(_long(self.size - 1)).cast("int")
+            at = (F.shiftright(key, 16) * _long(self.spread) + F.get(table["shift"], key.bitwiseAND(_long(DEALT - 1)).cast("int"))).bitwiseAND(_long(self.size - 1)).cast("int")
             # an entry of this key leaves its rank; one of any other key differs above the bits of ranks
-            rank = F.least(F.get(self.entries, at).bitwiseXOR(F.shiftleft(key, RANK_BITS)), _long((1 << 41) - 1))
+            rank = F.least(F.get(table["entries"], at).bitwiseXOR(F.shiftleft(key, RANK_BITS)), _long((1 << 41) - 1))
             return F.shiftleft(rank, RANK_BITS) + x.bitwiseAND(_long(FIRST))
 
         return F.transform(pairs, one)
@@ -152,7 +158,12 @@ def _long(n: int) -> Column:
     return F.lit(n).cast("long")
 
 
-def fold(word: Column, ranks: RankMap) -> Column:
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def fold(word: Column, ranks: RankMap, table: Column) -> Column:
     """Ranks of the pieces of ``word`` (bytes as the characters U+0000 to U+00FF) after all merges.
 
     The state is one array: for each piece its rank and, above it, the rank that it makes with the next piece. The
@@ -160,10 +171,7 @@ def fold(word: Column, ranks: RankMap) -> Column:
     """
     size = F.length(word)
     edge = F.array(_long(ranks.edge))
-    own = F.concat(edge, F.transform(F.sequence(F.lit(1), size), lambda i: F.get(ranks.bytes, F.ascii(F.substring(word, i, F.lit(1))))), edge)
-
-    def let(value: Column, use) -> Column:
-        return F.get(F.transform(F.array(value), use), F.lit(0))
+    own = F.concat(edge, F.transform(F.sequence(F.lit(1), size), lambda i: F.get(table["bytes"], F.ascii(F.substring(word, i, F.lit(1))))), edge)
 
     def state(c: Column) -> Column:
         return F.struct(c.alias("c"), F.array_min(c).alias("least"))
@@ -180,7 +188,7 @@ def fold(word: Column, ranks: RankMap) -> Column:
             new = F.shiftright(least, RANK_BITS)  # the rank of a merged pair is that of its piece
             before, behind = F.get(c, i - 2).bitwiseAND(_long(FIRST)), F.get(c, i + 1).bitwiseAND(_long(FIRST))
             every = let(own, lambda p: F.zip_with(p, F.slice(p, F.lit(2), F.size(p)), lambda a, b: ranks.pair(a, F.coalesce(b, _long(ranks.edge)))))
-            found = ranks.look(F.when(first, every).otherwise(F.array(ranks.pair(before, new), ranks.pair(new, behind))))
+            found = ranks.look(table, F.when(first, every).otherwise(F.array(ranks.pair(before, new), ranks.pair(new, behind))))
             left, right = F.slice(c, F.lit(1), F.greatest(i - 2, F.lit(0))), F.slice(c, i + 2, F.size(c))
             return let(F.when(first, found).otherwise(F.concat(left, found, right)), state)
 
@@ -190,6 +198,23 @@ def fold(word: Column, ranks: RankMap) -> Column:
     return F.aggregate(F.sequence(F.lit(0), size), start, step, inner)
 
 
+def fold_all(words: str, ranks: RankMap) -> Column:
+    """Ranks for each of an array of words (bytes), in a row of :meth:`RankMap.with_table`."""
+    return let(F.col("__table"), lambda t: F.transform(words, lambda w: fold(F.decode(w, "ISO-8859-1"), ranks, t)))
+
+
+def bundled(words: DataFrame, most: int = 4096) -> DataFrame:
+    """words: arrays of at most ``most`` of ``words(word)``."""
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, most):
+                part = b.column(0).slice(at, most)
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part)], names=["words"])
+
+    return words.mapInArrow(tidy(run), "words array<binary>")
+
+
 def decode(ids: Column, ranks: RankMap) -> Column:
     """The bytes of ``ids``: their pieces, one after another."""
     return F.encode(F.array_join(F.transform(ids, lambda i: F.get(ranks.pieces, i)), ""), "ISO-8859-1")
@@ -393,20 +418,23 @@ def _chunk(column: pa.ChunkedArray) -> pa.Array:
     return column.chunk(0) if column.num_chunks else pa.array([], column.type)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, keep: list[str], frequent: int = 1_000_000, sample: int = 80_000) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, keep: list[str], frequent: int = 700_000, sample: int = 80_000) -> DataFrame:
     """``keep`` columns, ids (little-endian unsigned 32-bit integers) and decoded (bytes) for every row of ``docs(text)``."""
     spark = docs.sparkSession
-    ranks = RankMap(read_ranks(path))
-    # plans are kept as text, in which the rank map would stand in full
-    spark.conf.set("spark.sql.maxPlanStringLength", min(100_000, int(spark.conf.get("spark.sql.maxPlanStringLength").rstrip("b"))))
-    folded = frequent_words(docs, pattern, sample, frequent).select("word", fold(F.decode("word", "ISO-8859-1"), ranks).alias("ids"))
+    give_back(spark)
+    ranks = RankMap(spark, read_ranks(path))
+    bundles = ranks.with_table(bundled(frequent_words(docs, pattern, sample, frequent)))
+    folded = bundles.select(F.explode(F.arrays_zip("words", fold_all("words", ranks).alias("ids"))).alias("w")).select(F.col("w.words").alias("word"), F.col("w.ids").alias("ids"))
     known = materialize(folded, "bpe-known").toArrow()  # at most ``frequent`` rows of at most 32 bytes
     table = WordTable(known["word"].combine_chunks())
     known_ids = known["ids"].combine_chunks().take(pa.array(table.source))
-    sent = spark.sparkContext.broadcast((table, known_ids.flatten().to_numpy().astype("<u4"), np.diff(known_ids.offsets.to_numpy())))
     base = len(table.hash)
+    del table.source
+    # two broadcasts: each of the two kinds of workers holds one of them
+    sent_words = spark.sparkContext.broadcast(table)
+    sent_ids = spark.sparkContext.broadcast((known_ids.flatten().to_numpy().astype("<u4"), np.diff(known_ids.offsets.to_numpy()).astype(np.uint8)))
     del known, known_ids, table
-    give_back()
+    give_back(spark)
 
     fields = docs.select(*keep).schema
     inner = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in fields)
@@ -415,7 +443,7 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: list[str], frequent:
     def cut(batches):
         for t in slices(batches):
             words = Words(_chunk(t.column(0)), pattern)
-            place = sent.value[0].places(words)
+            place = sent_words.value.places(words)
             rare = place < 0
             place[rare] = base + np.arange(rare.sum())
             codes = place.astype(np.int32)[words.code]
@@ -425,18 +453,18 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: list[str], frequent:
             yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (own, docs_)], names=["words", "docs"])
 
     def join(batches):
-        _, flat0, lens0 = sent.value
+        flat0, lens0 = sent_ids.value
         for b in batches:
             for words, rows in zip(b.column(0), b.column(1), strict=True):
                 own, table = words.values, rows.values
                 some = own is not None and len(own)
                 flat = np.concatenate([flat0, own.flatten().to_numpy().astype("<u4")]) if some else flat0
-                lens = np.concatenate([lens0, np.diff(own.offsets.to_numpy())]) if some else lens0
-                ends0 = np.cumsum(lens)
+                lens = np.concatenate([lens0, np.diff(own.offsets.to_numpy())]) if some else lens0.astype(np.int32)
+                ends0 = np.cumsum(lens, dtype=np.int64)
                 codes_ = table.field("codes")
                 offsets = np.frombuffer(codes_.buffers()[1], np.int32)[codes_.offset : codes_.offset + len(codes_) + 1] // 4
                 codes = np.frombuffer(codes_.buffers()[2], np.int32)[offsets[0] : offsets[-1]] if codes_.buffers()[2] is not None else np.zeros(0, np.int32)
-                n = lens[codes]
+                n = lens[codes].astype(np.int64)
                 ends = np.cumsum(n)
                 ids = flat[np.repeat(ends0[codes] - n - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
                 bounds = np.concatenate([[0], ends])[offsets - offsets[0]]
@@ -447,8 +475,8 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: list[str], frequent:
                 step = max(1, int(out.num_rows * SLICE / max(1, 8 * len(ids))))
                 yield from (out.slice(at, step) for at in range(0, out.num_rows, step))
 
-    cutted = docs.select(F.col("text").cast("string").alias("__text"), *keep).mapInArrow(tidy(cut), f"words array<binary>, docs array<{doc_type}>")
-    ready = cutted.select(F.transform("words", lambda w: fold(F.decode(w, "ISO-8859-1"), ranks)).alias("words"), "docs")
+    cutted = positional(docs.select(F.col("text").cast("string"), *keep)).mapInArrow(tidy(cut), f"words array<binary>, docs array<{doc_type}>")
+    ready = ranks.with_table(cutted).select(fold_all("words", ranks).alias("words"), "docs")
     out = docs.select(*keep).schema.add("ids", "binary").add("tokens", T.ArrayType(T.IntegerType()))
     return ready.mapInArrow(tidy(join), out).select(*keep, "ids", decode(F.col("tokens"), ranks).alias("decoded"))
 

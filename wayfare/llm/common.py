@@ -46,6 +46,9 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     small_batches(spark)
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark._wayfare_written = getattr(spark, "_wayfare_written", 0) + 1
+    if spark._wayfare_written % 8 == 0:  # iterative operators write many tables; the driver keeps little of each
+        give_back(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 

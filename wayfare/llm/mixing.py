@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, n_words
+from .common import give_back, materialize, n_words
 
 LEVELS, BITS = 4, 15
 
@@ -104,6 +104,7 @@ def mixture(docs: DataFrame, weights: list[int] = (3, 1, 2), share: float = 1.5,
 
 def apply_mixture(docs: DataFrame, weights: list[int] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: str = "mix") -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, with its own columns."""
+    give_back(docs.sparkSession)
     mine = docs.select(*[f"`{c}`" for c in docs.columns], n_words(F.col("text")).alias("__size"), doc_hash(F.col("doc_id"), seed).alias("__h"))
     sizes = materialize(mine.select("doc_id", "source", F.col("__size").alias("size"), F.col("__h").alias("h")), "mix-sizes")
     targets = materialize(source_targets(sizes, list(weights), share, cap), "mix-targets")

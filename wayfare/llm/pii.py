@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, positional, tidy
+from .common import give_back, materialize, positional, tidy
 
 #: Common first names by script and gender, and titles that lead a name.
 FIRST = {
@@ -437,6 +437,7 @@ def replace_in(docs: DataFrame, key: str = "surrogates", bound: int = 10_000, co
     secret = key.encode()
     if counted:
         docs = docs.select(*[f"`{c}`" for c in docs.columns if c.lower() != "n_entities"])
+    give_back(docs.sparkSession)
     exceptions = materialize(check(docs, secret), "pii-exceptions")
     names = docs.columns
     place = names.index("text")

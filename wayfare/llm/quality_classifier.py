@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, positional, tidy
+from .common import crc_mod, give_back, positional, tidy
 from .labelled import WORD, WordCache, bucket, collect_features, labelled_sample, row_sums, sigmoid
 
 BITS = 16
@@ -120,7 +120,9 @@ def fit(y, offsets, flat, stats, rank: int = 6, epochs: int = 30, rate: float =
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, rows: int = 6000) -> Machine:
     sample = labelled_sample(docs, labels, "quality", usable, rows, ("n_chars",))
-    return fit(*collect_features(sample, words_of, structure, rows))
+    machine = fit(*collect_features(sample, words_of, structure, rows))
+    give_back(docs.sparkSession)
+    return machine
 
 
 def _scorer(machine):

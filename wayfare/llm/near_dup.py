@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, tidy
+from .common import materialize, positional, tidy
 from .labelled import WordCache
 
 SHINGLE = 5
@@ -460,11 +460,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
                 nodes = [xxhash.xxh3_128_digest(shingle_set(t.as_py(), word_hash).tobytes()) if wanted else b"" for t in some.column(place)]
                 yield pa.RecordBatch.from_arrays([*some.columns, pa.array(nodes, pa.binary())], names=[*names, "__slot", "__node"])
 
-        return docs.withColumn("__slot", _slot(F.col("doc_id"))).mapInArrow(tidy(run), schema)
+        return positional(docs.withColumn("__slot", _slot(F.col("doc_id")))).mapInArrow(tidy(run), schema)
 
     g = gone.select(F.col("id").alias("__id"), F.col("node").alias("__gone"))
     rest = suspects(True).join(g, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__node") == F.col("__gone")), "left_anti")
-    return suspects(False).select(*names).unionByName(rest.select(*names))
+    kept = [f"`{c}`" for c in names]
+    return suspects(False).select(*kept).unionByName(rest.select(*kept))
 
 
 ORACLE = r"""

@@ -422,6 +422,8 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: list[str], frequent:
     """``keep`` columns, ids (little-endian unsigned 32-bit integers) and decoded (bytes) for every row of ``docs(text)``."""
     spark = docs.sparkSession
     give_back(spark)
+    # the session keeps the text of executed plans, in which the literals would stand in full
+    spark.conf.set("spark.sql.maxPlanStringLength", min(100_000, int(spark.conf.get("spark.sql.maxPlanStringLength").rstrip("b"))))
     ranks = RankMap(spark, read_ranks(path))
     bundles = ranks.with_table(bundled(frequent_words(docs, pattern, sample, frequent)))
     folded = bundles.select(F.explode(F.arrays_zip("words", fold_all("words", ranks).alias("ids"))).alias("w")).select(F.col("w.words").alias("word"), F.col("w.ids").alias("ids"))

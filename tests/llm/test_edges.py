@@ -5,7 +5,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from wayfare.llm import bm25, bpe, chat, mixing, near_dup, pii, quality_classifier, quality_rules, secrets, toxicity
+from wayfare.llm import bm25, bpe, chat, common, mixing, near_dup, pii, quality_classifier, quality_rules, secrets, toxicity
 
 from .helpers import edge_docs, empty, make
 
@@ -116,3 +116,7 @@ def test_no_document_is_mixed_more_often_than_the_cap(spark):
     for share in (0.5, 1.5, 2.0, 5.0):
         counts = mixing.apply_mixture(make(spark, rows), share=share).groupBy("doc_id").count().collect()
         assert all(r["count"] <= 2 for r in counts)
+
+
+def test_driver_memory_goes_back(spark):
+    assert "Trim native heap" in common.trim_jvm(spark)

@@ -13,6 +13,7 @@ import pyarrow as pa
 import pytest
 import regex
 import tiktoken
+import xxhash
 from pyspark.sql import functions as F
 
 from wayfare.llm import bm25, bpe, near_dup, pii, quality_classifier, quality_rules, secrets, toxicity
@@ -408,3 +409,33 @@ def test_search_over_many_shards_and_turns(spark):
         assert got == want, shard
         stats = bm25.search_stats(found).first()
         assert 0 < stats.scored <= stats.blocks and (shard != 64 or stats.scored < stats.blocks)
+
+
+def test_bm25_products_keep_scores_exact(spark):
+    rng = np.random.default_rng(5)
+    words = np.array([f"w{i}" for i in range(3000)])
+    share = 1 / np.arange(1, 3001)
+    texts = [" ".join(rng.choice(words, n, p=share / share.sum())) for n in rng.integers(0, 120, 1500)]
+    texts += [t for t in texts[:40] for _ in range(8)]  # ties
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    n, bags = len(texts), [collections.Counter(t.split()) for t in texts]
+    size = np.array([sum(b.values()) for b in bags])
+    df = collections.Counter(w for b in bags for w in b)
+    weight = {w: np.log1p((n - c + 0.5) / (c + 0.5)) for w, c in df.items()}
+    asked = [set(texts[i].split()) for i in range(0, n, 90)]
+    wanted = spark.createDataFrame([(1, " ".join(words))], "query_id long, text string")
+    best, dense = [(np.zeros(0, np.int64), np.zeros(0)) for _ in asked], 0
+    for r in bm25.build_index(docs, bm25.query_terms(wanted), 700).collect():
+        part = bm25.Shard(r.docs, r.lens, r.terms, r.starts, r.at, r.tf, size.mean())
+        dense += min(len(part.long), len(part.wide))
+        queries = []
+        for q in asked:
+            hashed = sorted((xxhash.xxh3_64_intdigest(w.encode()), weight[w]) for w in q)
+            place, idf = part.places(np.array([h for h, _ in hashed], np.uint64)), np.array([v for _, v in hashed])
+            queries.append((place[place >= 0], idf[place >= 0]))
+        part.search(queries, best, 10)
+    assert dense > 0
+    for q, (found, scores) in zip(asked, best, strict=True):
+        full = [(-round(sum(weight[w] * b[w] * 2.2 / (b[w] + 1.2 * (0.25 + 0.75 * size[i] / size.mean())) for w in q if w in b), 9), i) for i, b in enumerate(bags)]
+        want = sorted(x for x in full if x[0] < 0)[:10]
+        assert [i for _, i in want] == found.tolist() and np.allclose([-v for v, _ in want], scores, rtol=0, atol=2e-9)
